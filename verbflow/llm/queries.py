@@ -6,10 +6,11 @@ for those that SQL can express.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, toxicity
+from . import bpe, langid, packing, toxicity
 from .common import crc_fold, table
 
 
@@ -28,8 +29,22 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_langid(docs.select("doc_id", "text"), model).select("doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens, each document ended by id 2."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of ids and decoded text of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode_decode(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_bpe": op8_bpe,
     "op10_langid": op10_langid,
 }
 
