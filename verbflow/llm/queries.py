@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, ngram_join, packing, toxicity
+from . import bpe, embedding_dedup, langid, ngram_join, packing, suffix_dedup, topk, toxicity
 from .common import crc_fold, table
 
 
@@ -69,6 +69,55 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors by a cosine of 0.9 or more."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda e: e IS NULL OR NOT isfinite(e)), true)
+), unit AS (
+  SELECT vec_id, x, sqrt(array_inner_product(x, x)) AS norm FROM v WHERE array_inner_product(x, x) > 0
+), links AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM unit p JOIN unit q ON p.vec_id <> q.vec_id
+  WHERE array_inner_product(p.x, q.x) / (p.norm * q.norm) >= 0.9
+), reach(vec_id, c) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT b, c FROM reach JOIN links ON a = reach.vec_id
+), least AS (SELECT vec_id, min(c) AS component_id FROM reach GROUP BY vec_id)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM least LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)
+"""
+
+
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_inner_products(vectors, vectors.where("vec_id % 50 = 0"), scale=256, k=5)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda e: e IS NULL OR NOT isfinite(e)), true)
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of 50 words or more that repeat within the corpus; ``first`` marks the place that is kept."""
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"), words=50)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -78,6 +127,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_embedding_dedup": op3_embedding_dedup,
+    "op5_topk_search": op5_topk_search,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
     "op10_langid": op10_langid,
@@ -85,4 +137,6 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard": OP1_SQL,
+    "op3_embedding_dedup": OP3_SQL,
+    "op5_topk_search": OP5_SQL,
 }
