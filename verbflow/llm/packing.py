@@ -11,11 +11,12 @@ find their places by their rank among pieces of their length.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -24,13 +25,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ensure_checkpoint_dir, text_chunks, with_fields
+from .bpe import byte_letters
+from .common import ensure_checkpoint_dir, with_fields
 
 #: White space as the byte-level pre-tokenizer's ``\s`` has it (the Unicode property White_Space).
-WS = "\t-\r \x85\xa0  -     　"
+WIDE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS = r"\t-\r " + WIDE
 #: No token crosses the borders of these chunks: a run of white space leaves its last
 #: character to what follows, and only a plain space joins the characters after it.
 CHUNK = re.compile(rf"[{WS}]+(?![^{WS}])| ?[^{WS}]+|[{WS}]")
+#: White space other than a space or a line feed.
+ODD = re.compile(rf"[\t\x0b-\r{WIDE}]")
 
 Pattern = tuple[int, ...]
 
@@ -161,37 +166,61 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 4000) ->
 # --- tokens and pieces ------------------------------------------------------------------
 
 
-class ChunkEncoder:
-    """ids of a byte-level tokenizer as little-endian uint32, by chunks that are remembered up to ``limit``."""
+class ChunkEncoder(dict):
+    """ids of a byte-level BPE tokenizer as little-endian uint32, by chunks remembered up to ``limit``.
 
-    def __init__(self, tokenizer_json: str, limit: int = 250_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memory: dict[str, bytes] = {}
-        self.limit = limit
+    A chunk is looked up as it stands; ``chunk -> ids of a space and the chunk`` are the
+    entries of ``spaced``.  The ranks of the tokenizer's own file drive tiktoken, which is
+    faster on single words; texts with a special token's spelling go to tokenizers whole.
+    """
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    #: The pre-tokenizer's pattern (fixed value).
+    PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for _, run in text_chunks(texts, 2 << 20):
-            # a special token's text changes where white space is cut, so such texts go whole
-            split = [[] if not t or any(s in t for s in self.special) else CHUNK.findall(t) for t in run]
-            met = set().union(*split)
-            if len(self.memory) + len(met) > self.limit:
-                self.memory = {}
-            new = [c for c in met if c not in self.memory]
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                self.memory.update(zip(part, self._encode(part), strict=True))
-            get = self.memory.__getitem__
-            for text, parts in zip(run, split, strict=True):
-                yield b"".join(map(get, parts)) if parts else self._encode([text])[0] if text else b""
+    def __init__(self, tokenizer_json: str, limit: int = 400_000, prefix: str = "", encode=None):
+        super().__init__()
+        self.limit, self.prefix = limit, prefix
+        if encode:
+            self.ordinary = encode
+            return
+        import tiktoken
+
+        self.json = tokenizer_json
+        spec = json.loads(tokenizer_json)
+        byte = {c: b for b, c in enumerate(byte_letters())}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        self.ordinary = tiktoken.Encoding("pieces", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+        self.special = list(special)
+        self.spaced = ChunkEncoder("", limit, " ", self.ordinary)
+        self.whole = None
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        ids = self[chunk] = array("I", self.ordinary(self.prefix + chunk)).tobytes()
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if any(s in text for s in self.special):
+            if self.whole is None:
+                os.environ["TOKENIZERS_PARALLELISM"] = "false"
+                from tokenizers import Tokenizer
+
+                self.whole = Tokenizer.from_str(self.json)
+                self.whole.no_truncation()
+                self.whole.no_padding()
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        text = text.encode("utf-8", "replace").decode() if not text.isascii() else text
+        if "  " in text or "\n " in text or ODD.search(text):
+            return b"".join(map(self.__getitem__, CHUNK.findall(text)))
+        # every space follows a letter or mark, so a token may start but not cross there
+        first, *rest = text.split(" ")
+        if not text.endswith(" ") and first:
+            return b"".join([self[first], *map(self.spaced.__getitem__, rest)])
+        return b"".join(map(self.__getitem__, CHUNK.findall(text)))
 
 
 def cut(tokens: int, capacity: int) -> list[tuple[int, int]]:
@@ -209,7 +238,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer_json: str, *, id_col: str, text_c
         for batch in batches:
             ids = batch.column(0).to_pylist()
             out: list[tuple] = []
-            for doc, tokens in zip(ids, encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for doc, text in zip(ids, batch.column(1).to_pylist(), strict=True):
+                tokens = encoder.encode(text)
                 tokens += end_id.to_bytes(4, "little")
                 out += [(doc, i, s, n, zlib.crc32(tokens[4 * s : 4 * (s + n)])) for i, (s, n) in enumerate(cut(len(tokens) // 4, capacity))]
             columns = list(zip(*out, strict=True)) if out else [[]] * 5

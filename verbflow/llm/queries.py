@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, langid, ngram_join, packing, suffix_dedup, topk, toxicity
+from . import bpe, embedding_dedup, langid, lm_score, ngram_join, packing, suffix_dedup, topk, toxicity
 from .common import crc_fold, table
 
 
@@ -22,6 +22,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs.select("doc_id", "text"), model).select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document; learned from the folds other than 2 of 7."""
+    docs = table(spark, sf_dir, "documents").withColumn("__learn", crc_fold("doc_id", 7) != 2)
+    return lm_score.score_texts(docs, learn_col="__learn", class_col="lang")
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned from the folds other than 1 of 3."""
     docs = table(spark, sf_dir, "documents")
@@ -132,6 +138,7 @@ QUERIES = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
+    "op9_lm_score": op9_lm_score,
     "op10_langid": op10_langid,
 }
 
