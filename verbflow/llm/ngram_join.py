@@ -4,9 +4,9 @@ A set of word shingles is split by hash into parts, and each part is summed up b
 of its shingles' hashes.  Two sets that differ in d shingles differ in at most d parts, and
 sets of Jaccard similarity t or more differ in at most (1-t)/(1+t) * (a+b) shingles, so
 with more parts than that at least one part has equal sums (pigeonhole).  Parts are
-joined on their sums within size bands; the Hamming distance of a 1024-bit parity sketch,
-a lower bound of the symmetric difference, drops most false pairs, and the rest is
-verified on the sets themselves.
+joined on their sums within size bands; the Hamming distance of parity sketches (a bit per
+slot, flipped by every shingle that hashes there), a lower bound of the symmetric
+difference, drops most false pairs, and the rest is verified on the sets themselves.
 
 Exactness does not rest on the choice of shingles that are left out of the parts because
 they occur in very many documents: leaving the same ones out on both sides only shrinks the
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext  # noqa: F401  (tasks need it when their partition id is asked for)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +28,6 @@ from pyspark.sql import types as T
 from .common import WordHashes, ascii_words, ensure_checkpoint_dir, gram_hashes, mix64, shuffle_width
 from .graph import components
 
-SKETCH_BITS = 1024
 #: At most so many shingles are set apart as very frequent; any choice gives the same links.
 FREQUENT = 65_536
 BLOCK = 4096
@@ -49,8 +47,29 @@ def fingerprints(s: np.ndarray) -> tuple[int, int]:
     return int(one.astype(np.int64)), int(two.astype(np.int64))
 
 
-def sketch(s: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+def sketch(s: np.ndarray, least: int = 1024) -> bytes:
+    """Parity of the number of shingles in each of ``least`` slots, or as many more (doubling) as shingles ask for."""
+    bits = least
+    while bits < 2 * len(s) and bits < 1 << 16:
+        bits *= 2
+    slot = (s >> np.uint64(24)).astype(np.int64) & (bits - 1)
+    return np.packbits(np.bincount(slot, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all as short as the shortest: halves are XORed, which keeps the bound."""
+    words = min(map(len, sketches)) // 8
+    rows = np.empty((len(sketches), words), np.uint64)
+    for i, b in enumerate(sketches):
+        x = np.frombuffer(b, np.uint64)
+        while len(x) > words:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        rows[i] = x
+    return rows
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
 
 
 class Bands:
@@ -101,15 +120,22 @@ def signatures(s: np.ndarray, bands: Bands, frequent: np.ndarray) -> np.ndarray:
     def key(kind: int, band: int, part: np.ndarray, total: np.ndarray) -> None:
         keys.append(mix64(total ^ mix64(part.astype(np.uint64) + np.uint64((kind << 56) + (band << 32) + 1))))
 
+    def enter(kind: int, band: int, own: np.ndarray, parts: int, difference: int) -> bool:
+        """Keys of the first parts; false if a link could hide in empty ones.
+
+        Of the first difference + empty + 1 parts at most ``difference`` differ, so one that
+        isn't empty is equal; a partner with fewer keys is found by its own number likewise.
+        """
+        part, total = part_sums(own, parts)
+        empty = parts - len(part)
+        first = part < difference + empty + 1
+        key(kind, band, part[first], total[first])
+        return parts - difference > empty
+
     for band, parts, difference in bands.of(len(s)):
-        part, total = part_sums(rare, parts)
-        key(0, band, part, total)
-        if parts - len(part) >= parts - difference:
-            part, total = part_sums(s, parts)
-            key(1, band, part, total)
-            if parts - len(part) >= parts - difference:
-                empty = np.setdiff1d(np.arange(parts), part)
-                key(2, band, empty, np.zeros(len(empty), np.uint64))
+        if not enter(0, band, rare, parts, difference) and not enter(1, band, s, parts, difference):
+            empty = np.setdiff1d(np.arange(parts), part_sums(s, parts)[0])
+            key(2, band, empty, np.zeros(len(empty), np.uint64))
     return np.concatenate(keys)
 
 
@@ -172,35 +198,76 @@ def frequent_shingles(counted: DataFrame, most: int = FREQUENT) -> np.ndarray:
     return np.sort(np.array([r.h for r in total.where(F.col("p") >= least).select("h").collect()], np.int64).astype(np.uint64))
 
 
+def bucket_keys(spark, width: int) -> list[int]:
+    """For each partition of a repartition to ``width`` by an int column, an int that lands there."""
+    found: dict[int, int] = {}
+    at = 0
+    while len(found) < width:
+        for r in spark.range(at, at + 16 * width).select(F.col("id").cast("int").alias("i"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(width)).alias("p")).collect():
+            found.setdefault(r.p, r.i)
+        at += 16 * width
+    return [found[p] for p in range(width)]
+
+
+def likely(members: np.ndarray, size: np.ndarray, sketches: list[bytes], bands: Bands) -> np.ndarray:
+    """Those members of a group that sizes and sketches allow to link with another one."""
+    x, n = folded(sketches), size.astype(np.int64)
+
+    def fits(i, j):
+        return (apart(x[i], x[j]) <= (n[i] + n[j]) * (bands.den - bands.num) // (bands.den + bands.num)) & (np.minimum(n[i], n[j]) * bands.den >= np.maximum(n[i], n[j]) * bands.num)
+
+    if len(members) <= 48:
+        i, j = np.triu_indices(len(members), 1)
+        ok = fits(i, j)
+        return np.unique(np.concatenate([i[ok], j[ok]]))
+    linked = np.zeros(len(members), bool)
+    left = np.arange(len(members))
+    while len(left):  # members that fit an earlier one need not be compared with all others
+        first, rest = left[:1], left[1:]
+        ok = fits(first, rest)
+        if ok.any():
+            linked[first] = linked[rest[ok]] = True
+        elif not linked[first]:
+            linked[first] = fits(first, np.flatnonzero(linked)).any() if linked.any() else False
+        left = rest[~ok]
+    return np.flatnonzero(linked)
+
+
 def collisions(docs: DataFrame, text_col: str, n: int, bands: Bands, frequent: np.ndarray) -> DataFrame:
-    """(g, members): the sets (as packed f1) that share a signature, each distinct group of a task once.
+    """(g, members): the sets (as packed f1) that share a signature and may link, each distinct group of a task once.
 
-    Signatures travel packed by bucket: 6 bytes each, and the number of the set in the packet.
+    Signatures travel packed by bucket, one bucket to a partition: 6 bytes each, and for
+    every set of a packet its name, size and a sketch of about half a bit per shingle.
     """
-    width = 4 * shuffle_width(docs.sparkSession)
+    width = shuffle_width(docs.sparkSession)
+    home = np.array(bucket_keys(docs.sparkSession, width))
 
     def sign(batches):
         hashes, seen = WordHashes(), set()
         held: list[np.ndarray] = []
         names: list[int] = []
+        sizes: list[int] = []
+        short: list[bytes] = []
         size = 0
 
         def flush():
             keys = np.concatenate(held)
             owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(k) for k in held])
-            bucket = (keys >> np.uint64(40)) % np.uint64(width)
+            bucket = (keys >> np.uint64(48)) % np.uint64(width)
             order = np.argsort(bucket, kind="stable")
             keys, owner, bucket = keys[order], owner[order], bucket[order].astype(np.int64)
             starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            rows: list[list] = [[], [], [], []]
-            name = np.array(names, np.int64)
+            rows: list[list] = [[], [], [], [], [], []]
+            name, count = np.array(names, np.int64), np.array(sizes, np.uint32)
             for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
                 own, local = np.unique(owner[a:b], return_inverse=True)
-                rows[0].append(int(bucket[a]))
+                rows[0].append(int(home[bucket[a]]))
                 rows[1].append(keys[a:b].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
                 rows[2].append(np.diff(local, prepend=0).astype(np.uint8).tobytes())  # 0 or 1 each
                 rows[3].append(name[own].tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["bucket", "k", "d", "s"])
+                rows[4].append(count[own].tobytes())
+                rows[5].append([short[i] for i in own])
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:5]), pa.array(rows[5], pa.list_(pa.binary()))], ["bucket", "k", "d", "s", "n", "x"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -214,42 +281,55 @@ def collisions(docs: DataFrame, text_col: str, n: int, bands: Bands, frequent: n
                     seen.add(name)
                 held.append(signatures(s, bands, frequent))
                 names.append(name[0])
+                sizes.append(len(s))
+                half = np.frombuffer(sketch(s), np.uint64)
+                while len(half) * 128 > max(256, len(s)):
+                    half = half[: len(half) // 2] ^ half[len(half) // 2 :]
+                short.append(half.tobytes())
                 size += len(held[-1])
                 if size >= 3_000_000:
                     yield flush()
-                    held, names, size = [], [], 0
+                    held, names, sizes, short, size = [], [], [], [], 0
         if held:
             yield flush()
 
     def meet(batches):
-        keys, owners = [], []
+        keys, owners, names, sizes, short, base = [], [], [], [], [], 0
         for batch in batches:
-            for bucket, k, d, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, k, d, s, c, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 full = np.zeros((len(k) // 6, 8), np.uint8)
                 full[:, :6] = np.frombuffer(k, np.uint8).reshape(-1, 6)
-                full[:, 6:] = np.frombuffer((bucket & 0xFFFF).to_bytes(2, "little"), np.uint8)
                 keys.append(full.view(np.uint64).ravel())
-                owners.append(np.frombuffer(s, np.int64)[np.cumsum(np.frombuffer(d, np.uint8))])
+                owners.append(np.cumsum(np.frombuffer(d, np.uint8), dtype=np.int64) + base)
+                names.append(np.frombuffer(s, np.int64))
+                sizes.append(np.frombuffer(c, np.uint32))
+                short += x
+                base += len(x)
         if not keys:
             return
-        key, owner = np.concatenate(keys), np.concatenate(owners)
-        keys = owners = None
+        key, owner, name, count = (np.concatenate(z) for z in (keys, owners, names, sizes))
+        keys = owners = names = sizes = None
         order = np.argsort(key, kind="stable")
         key = key[order]
-        start = np.r_[True, key[1:] != key[:-1]]
-        begins = np.flatnonzero(start)
+        begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         ends = np.r_[begins[1:], len(key)]
         several = ends - begins > 1
         found: dict[bytes, None] = {}
+        tried: set[bytes] = set()
         for a, b in zip(begins[several].tolist(), ends[several].tolist(), strict=True):
-            members = np.unique(owner[order[a:b]])
-            if len(members) > 1:
-                found[members.tobytes()] = None
+            members, at = np.unique(name[owner[order[a:b]]], return_index=True)
+            if len(members) > 1 and (packed := members.tobytes()) not in tried:
+                if len(tried) < 200_000:
+                    tried.add(packed)
+                who = owner[order[a:b]][at]
+                keep = likely(members, count[who], [short[i] for i in who.tolist()], bands)
+                if len(keep) > 1:
+                    found[members[keep].tobytes()] = None
         rows = list(found)
         for at in range(0, len(rows), 2000):
             yield pa.RecordBatch.from_arrays([pa.array(rows[at : at + 2000], pa.binary())], ["members"])
 
-    packets = docs.select(text_col).mapInArrow(sign, "bucket int, k binary, d binary, s binary").repartition(shuffle_width(docs.sparkSession), "bucket")
+    packets = docs.select(text_col).mapInArrow(sign, "bucket int, k binary, d binary, s binary, n binary, x array<binary>").repartition(width, "bucket")
     return packets.mapInArrow(meet, "members binary").select(F.xxhash64("members").alias("g"), "members")
 
 
@@ -287,10 +367,9 @@ def may_link(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
             na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
             if not len(na):
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(na), -1) for c in ("xa", "xb"))
-            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            difference = np.array([apart(*folded([x, y])) for x, y in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True)])
             allowed = (na + nb) * (bands.den - bands.num) // (bands.den + bands.num)
-            keep = (apart <= allowed) & (np.minimum(na, nb) * bands.den >= np.maximum(na, nb) * bands.num)
+            keep = (difference <= allowed) & (np.minimum(na, nb) * bands.den >= np.maximum(na, nb) * bands.num)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     known = lambda c: sets.select(F.col("f1").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
@@ -330,22 +409,30 @@ def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, id_col: str, text
             yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(picked, pa.int64())) if len(names) == len(picked) else pa.nulls(len(names), batch.column(2).type), pa.array(names, pa.int64()), pa.array(packed, pa.binary())], ["__id", "f1", "packed"])
 
     def compare(batches):
+        """Rows come sorted by pair: both sets of a pair follow each other (repeated rows repeat a side)."""
+        pair, left = None, b""
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                keep.append(bands.den * both >= bands.num * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found = []
+            for a, b, second, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not second:
+                    pair, left = (a, b), packed
+                elif pair == (a, b):
+                    x, y = np.frombuffer(left, np.uint64), np.frombuffer(packed, np.uint64)
+                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                    both = int((y[at] == x).sum())
+                    if bands.den * both >= bands.num * (len(x) + len(y) - both):
+                        found.append(pair)
+                    pair = None
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     kind = docs.schema[id_col].dataType
     texts = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(bits)).alias("h"), text_col, id_col)
     schema = T.StructType([T.StructField("__id", kind), T.StructField("f1", T.LongType()), T.StructField("packed", T.BinaryType())])
-    # repeated rows of one id and set collapse; other rows that the bitmap let through are not a set's own
-    own = texts.mapInArrow(read, schema).join(sets.join(wanted, "f1").select("f1", F.col("rep").alias("__id")), ["f1", "__id"]).groupBy("f1").agg(F.first("packed").alias("packed")).checkpoint()
-    side = lambda c: own.select(F.col("f1").alias(c), F.col("packed").alias(f"p{c}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "pa", "pb").mapInArrow(compare, "a long, b long")
+    sides = pairs.select(F.col("a").alias("f1"), "a", "b", F.lit(False).alias("second")).union(pairs.select("b", "a", "b", F.lit(True)))
+    sides = sides.join(sets.select("f1", F.col("rep").alias("__id")), "f1")
+    # rows that the bitmap let through by chance, or that share an id but not the set, fall out here
+    met = texts.mapInArrow(read, schema).join(sides, ["f1", "__id"]).select("a", "b", "second", "packed")
+    return met.repartition(shuffle_width(spark), "a", "b").sortWithinPartitions("a", "b", "second").mapInArrow(compare, "a long, b long")
 
 
 def cross_pairs(groups: DataFrame, labels: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
@@ -364,7 +451,7 @@ def cross_pairs(groups: DataFrame, labels: DataFrame, sets: DataFrame, bands: Ba
     def meet(t: pa.Table) -> pa.Table:
         f, l, n, block = (t.column(c).to_numpy() for c in ("f", "l", "n", "block"))
         n = n.astype(np.int64)
-        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(f), -1)
+        bits = folded(t.column("bits").to_pylist())
         i, j = int(t.column("i")[0].as_py()), int(t.column("j")[0].as_py())
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         out = []
@@ -372,7 +459,7 @@ def cross_pairs(groups: DataFrame, labels: DataFrame, sets: DataFrame, bands: Ba
             y = right[(l[right] != l[x]) & ((f[right] > f[x]) if i == j else True)]
             if len(y):
                 allowed = (n[y] + n[x]) * (bands.den - bands.num) // (bands.den + bands.num)
-                ok = (np.minimum(n[y], n[x]) * bands.den >= np.maximum(n[y], n[x]) * bands.num) & (np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64) <= allowed)
+                ok = (np.minimum(n[y], n[x]) * bands.den >= np.maximum(n[y], n[x]) * bands.num) & (apart(bits[y], bits[x]) <= allowed)
                 out.append(np.stack([np.minimum(f[x], f[y[ok]]), np.maximum(f[x], f[y[ok]])]))
         both = np.concatenate(out, 1) if out else np.empty((2, 0), np.int64)
         return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1])})
