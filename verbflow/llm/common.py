@@ -37,6 +37,17 @@ def with_fields(schema: T.StructType, **kinds: T.DataType) -> T.StructType:
     return T.StructType([*schema.fields, *(T.StructField(k, v) for k, v in kinds.items())])
 
 
+def bucket_keys(spark: SparkSession, width: int) -> list[int]:
+    """For each partition of a repartition to ``width`` by an int column, an int that lands there."""
+    found: dict[int, int] = {}
+    at = 0
+    while len(found) < width:
+        for r in spark.range(at, at + 16 * width).select(F.col("id").cast("int").alias("i"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(width)).alias("p")).collect():
+            found.setdefault(r.p, r.i)
+        at += 16 * width
+    return [found[p] for p in range(width)]
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's checkpoint folder; set one of our own only where none is set."""
     if spark.sparkContext.getCheckpointDir() is None:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, ascii_words, ensure_checkpoint_dir, gram_hashes, mix64, shuffle_width
+from .common import WordHashes, ascii_words, bucket_keys, ensure_checkpoint_dir, gram_hashes, mix64, shuffle_width
 from .graph import components
 
 #: At most so many shingles are set apart as very frequent; any choice gives the same links.
@@ -198,17 +198,6 @@ def frequent_shingles(counted: DataFrame, most: int = FREQUENT) -> np.ndarray:
     return np.sort(np.array([r.h for r in total.where(F.col("p") >= least).select("h").collect()], np.int64).astype(np.uint64))
 
 
-def bucket_keys(spark, width: int) -> list[int]:
-    """For each partition of a repartition to ``width`` by an int column, an int that lands there."""
-    found: dict[int, int] = {}
-    at = 0
-    while len(found) < width:
-        for r in spark.range(at, at + 16 * width).select(F.col("id").cast("int").alias("i"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(width)).alias("p")).collect():
-            found.setdefault(r.p, r.i)
-        at += 16 * width
-    return [found[p] for p in range(width)]
-
-
 def likely(members: np.ndarray, size: np.ndarray, sketches: list[bytes], bands: Bands) -> np.ndarray:
     """Those members of a group that sizes and sketches allow to link with another one."""
     x, n = folded(sketches), size.astype(np.int64)

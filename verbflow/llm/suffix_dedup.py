@@ -16,6 +16,7 @@ kept and all others are repeats.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, ascii_words, ensure_checkpoint_dir, gram_hashes
+from .common import WordHashes, ascii_words, bucket_keys, gram_hashes, shuffle_width
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Size of the bitmap of repeated grams that tasks get (8 MB), whatever the input's size.
@@ -78,12 +79,11 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     ``first`` tells the places that are kept from the repeats.  Rows that share an id and
     a text are one document.  Null, empty and shorter texts, and rows without an id, have
-    no spans.  Each gram and passage is counted with partial aggregation; the join that
-    brings the counts back to the places is one that Spark splits where a passage is
-    very frequent.
+    no spans.  Grams are counted with partial aggregation.  Places travel packed, and of a
+    passage that a block of texts holds many times only the first place travels to be
+    compared, so a very frequent passage costs a place per block.
     """
     spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
     docs = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col)
     kind = docs.schema[id_col].dataType
 
@@ -104,11 +104,52 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     bitmap[found.column("w").to_numpy()] = found.column("v").to_numpy()
     sent = spark.sparkContext.broadcast(bitmap)
 
+    width = shuffle_width(spark)
+    home = np.array(bucket_keys(spark, width))
+
+    def bucket_of(ids) -> np.ndarray:
+        return np.fromiter((zlib.crc32(str(d).encode("utf-8", "replace")) % width for d in ids), np.int64, len(ids))
+
     def passages(batches):
+        """Places of passages, packed by bucket.  Of those that a block of texts repeats only the first goes on to be compared."""
         hashes = WordHashes()
+        ids, starts, names, held = [], [], [], 0
+
+        def flush():
+            who, rank = np.unique(np.array(ids, dtype=object), return_inverse=True)
+            rank = np.repeat(rank.ravel(), [len(s) for s in starts])
+            start, name = np.concatenate(starts), np.concatenate(names)
+            order = np.lexsort((start, rank, name))
+            rank, start, name = rank[order], start[order], name[order]
+            new = np.r_[True, name[1:] != name[:-1]]
+            again = ~new & np.r_[False, (rank[1:] == rank[:-1]) & (start[1:] == start[:-1])]
+            known = ~new & ~again  # repeats whatever else there is
+            several = np.zeros(len(name), bool)
+            several[np.maximum.accumulate(np.where(new, np.arange(len(name)), 0))[known]] = True
+            for some, send in ((new, True), (known, False)):
+                r, s, n, m = rank[some], start[some], name[some], several[some]
+                bucket = (n % np.uint64(width)).astype(np.int64) if send else bucket_of(who)[r]
+                o = np.lexsort((s, r, bucket))
+                r, s, n, m, bucket = r[o], s[o], n[o], m[o], bucket[o]
+                cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(r) else []
+                for a, b in zip(cuts, [*cuts[1:], len(r)], strict=True):
+                    own, local = np.unique(r[a:b], return_inverse=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([int(home[bucket[a]])], pa.int32()),
+                            pa.array([n[a:b].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() if send else None], pa.binary()),
+                            pa.array([np.diff(local, prepend=0).astype(np.uint8).tobytes()], pa.binary()),
+                            pa.array([zlib.compress(s[a:b].astype("<u4").tobytes(), 1)], pa.binary()),
+                            pa.array([np.packbits(m[a:b]).tobytes()], pa.binary()),
+                            pa.array([who[own].tolist()], pa.list_(id_type)),
+                        ],
+                        ["bucket", "k", "d", "s", "m", "ids"],
+                    )
+
+        id_type = None
         for batch in batches:
-            ids, rows, starts, names = batch.column(0), [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            id_type = batch.schema.field(0).type
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h, at, keys, _ = selected(text, hashes, words, gram)
                 bits = (keys >> np.uint64(38)).astype(np.int64)
                 at = at[((sent.value[bits >> 6] >> (bits & 63)) & 1).astype(bool)]
@@ -117,34 +158,89 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 s = np.unique((at[:, None] - np.arange(words - gram + 1)[None, :]).ravel())
                 s = s[(s >= 0) & (s <= len(h) - words)]
                 low, high = int(s[0]), int(s[-1])
+                ids.append(doc)
                 starts.append(s)
                 names.append(gram_hashes(h[low : high + words], words)[s - low])
-                rows.append(np.full(len(s), i))
-            if rows:
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(names).astype(np.int64))], ["d", "s", "p"])
-
-    schema = T.StructType([T.StructField("d", kind), T.StructField("s", T.IntegerType()), T.StructField("p", T.LongType())])
-    places = docs.mapInArrow(passages, schema)
-    # equal rows of one id are one place, so the places are told apart by their extremes
-    place = F.struct("d", "s")
-    repeats = places.groupBy("p").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("p", "lo")
-    marked = places.join(repeats, "p").select("d", "s", ((F.col("d") == F.col("lo.d")) & (F.col("s") == F.col("lo.s"))).alias("first"))
-    gathered = marked.groupBy("d", "first").agg(F.collect_set("s").alias("s"))
+                held += len(s)
+                if held >= 2_000_000:
+                    yield from flush()
+                    ids, starts, names, held = [], [], [], 0
+        if held:
+            yield from flush()
+
+    def compare(batches):
+        """The first place of every passage of a bucket, and its repeats, packed by document."""
+        keys, ranks, starts, several, who, done = [], [], [], [], [], []
+        id_type = None
+        for batch in batches:
+            id_type = batch.schema.field(5).type.value_type
+            for _, k, d, s, m, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                local = np.cumsum(np.frombuffer(d, np.uint8), dtype=np.int64) + len(who)
+                start = np.frombuffer(zlib.decompress(s), "<u4").astype(np.int64)
+                who += ids
+                if k is None:
+                    done.append((local, start))
+                    continue
+                full = np.zeros((len(local), 8), np.uint8)
+                full[:, 2:] = np.frombuffer(k, np.uint8).reshape(-1, 6)
+                keys.append(full.view(np.uint64).ravel())
+                ranks.append(local)
+                starts.append(start)
+                several.append(np.unpackbits(np.frombuffer(m, np.uint8), count=len(local)).astype(bool))
+        if not who:
+            return
+        name, place = np.unique(np.array(who, dtype=object), return_inverse=True)
+        place = place.ravel()
+        out = [(place[r], s, np.zeros(len(r), bool)) for r, s in done]
+        if keys:
+            key, rank, start, more = np.concatenate(keys), place[np.concatenate(ranks)], np.concatenate(starts), np.concatenate(several)
+            order = np.lexsort((start, rank, key))
+            key, rank, start, more = key[order], rank[order], start[order], more[order]
+            new = np.r_[True, key[1:] != key[:-1]]
+            again = ~new & np.r_[False, (rank[1:] == rank[:-1]) & (start[1:] == start[:-1])]
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+            repeats = np.zeros(len(key), bool)
+            repeats[lead[(~new & ~again) | more]] = True
+            keep = repeats[lead] & ~again
+            out.append((rank[keep], start[keep], new[keep]))
+        rank, start, first = (np.concatenate(z) for z in zip(*out, strict=True))
+        bucket = bucket_of(name)[rank] if len(rank) else rank
+        o = np.lexsort((start, rank, bucket))
+        rank, start, first, bucket = rank[o], start[o], first[o], bucket[o]
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(rank) else []
+        for a, b in zip(cuts, [*cuts[1:], len(rank)], strict=True):
+            own, local = np.unique(rank[a:b], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array([int(home[bucket[a]])], pa.int32()), pa.array([np.diff(local, prepend=0).astype(np.uint8).tobytes()], pa.binary()), pa.array([zlib.compress(start[a:b].astype("<u4").tobytes(), 1)], pa.binary()), pa.array([np.packbits(first[a:b]).tobytes()], pa.binary()), pa.array([name[own].tolist()], pa.list_(id_type))], ["bucket", "d", "s", "f", "ids"])
 
     def spans(batches):
+        """Adjoining passages of a document merge."""
+        ranks, starts, firsts, who = [], [], [], []
+        id_type = None
         for batch in batches:
-            owner, begin, size = [], [], []
-            for i, s in enumerate(batch.column(2).to_pylist()):
-                s = np.sort(np.array(s, np.int64))
-                cut = np.flatnonzero(np.diff(s) > words)
-                a, b = s[np.r_[0, cut + 1]], s[np.r_[cut, len(s) - 1]] + words
-                owner += [i] * len(a)
-                begin += a.tolist()
-                size += (b - a).tolist()
-            owner = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(begin, pa.int32()), pa.array(size, pa.int32())], [id_col, "first", "start_word", "n_words"])
-
-    return gathered.mapInArrow(spans, T.StructType([T.StructField(id_col, kind), T.StructField("first", T.BooleanType()), T.StructField("start_word", T.IntegerType()), T.StructField("n_words", T.IntegerType())]))
+            id_type = batch.schema.field(4).type.value_type
+            for _, d, s, f, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ranks.append(np.cumsum(np.frombuffer(d, np.uint8), dtype=np.int64) + len(who))
+                starts.append(np.frombuffer(zlib.decompress(s), "<u4").astype(np.int64))
+                firsts.append(np.unpackbits(np.frombuffer(f, np.uint8), count=len(ranks[-1])).astype(bool))
+                who += ids
+        if not who:
+            return
+        name, place = np.unique(np.array(who, dtype=object), return_inverse=True)
+        rank, start, first = place.ravel()[np.concatenate(ranks)], np.concatenate(starts), np.concatenate(firsts)
+        order = np.lexsort((start, first, rank))
+        rank, start, first = rank[order], start[order], first[order]
+        cut = np.r_[True, (rank[1:] != rank[:-1]) | (first[1:] != first[:-1]) | (np.diff(start) > words)]
+        begin = np.flatnonzero(cut)
+        end = np.r_[begin[1:], len(rank)] - 1
+        for a in range(0, len(begin), 10_000):
+            b, e = begin[a : a + 10_000], end[a : a + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(name[rank[b]].tolist(), id_type), pa.array(first[b]), pa.array(start[b].astype(np.int32)), pa.array((start[e] + words - start[b]).astype(np.int32))], [id_col, "first", "start_word", "n_words"])
+
+    ids_type = T.ArrayType(kind)
+    binary = lambda *names: [T.StructField(c, T.BinaryType()) for c in names]
+    packets = docs.mapInArrow(passages, T.StructType([T.StructField("bucket", T.IntegerType()), *binary("k", "d", "s", "m"), T.StructField("ids", ids_type)])).repartition(width, "bucket")
+    marked = packets.mapInArrow(compare, T.StructType([T.StructField("bucket", T.IntegerType()), *binary("d", "s", "f"), T.StructField("ids", ids_type)])).repartition(width, "bucket")
+    return marked.mapInArrow(spans, T.StructType([T.StructField(id_col, kind), T.StructField("first", T.BooleanType()), T.StructField("start_word", T.IntegerType()), T.StructField("n_words", T.IntegerType())]))
 
 
 def without_repeats(text: str, spans: list[tuple[bool, int, int]]) -> str:
