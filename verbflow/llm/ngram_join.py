@@ -4,9 +4,11 @@ A set of word shingles is split by hash into parts, and each part is summed up b
 of its shingles' hashes.  Two sets that differ in d shingles differ in at most d parts, and
 sets of Jaccard similarity t or more differ in at most (1-t)/(1+t) * (a+b) shingles, so
 with more parts than that at least one part has equal sums (pigeonhole).  Parts are
-joined on their sums within size bands; the Hamming distance of parity sketches (a bit per
-slot, flipped by every shingle that hashes there), a lower bound of the symmetric
-difference, drops most false pairs, and the rest is verified on the sets themselves.
+joined on their sums within size bands.  The same count says in how many parts a set must
+meet others if it has any link, and sets that meet fewer drop out; the Hamming distance of
+parity sketches (a bit per slot, flipped by every shingle that hashes there), a lower
+bound of the symmetric difference, drops false pairs, and the rest is verified on the
+sets themselves.
 
 Exactness does not rest on the choice of shingles that are left out of the parts because
 they occur in very many documents: leaving the same ones out on both sides only shrinks the
@@ -14,7 +16,8 @@ difference.  A set with so many empty parts that a link could hide in them also
 with parts of all its shingles, and if that is not enough with its empty parts.
 
 Only pairs that can connect groups not yet connected are verified, so a group of copies
-costs links in proportion to its size.
+costs links in proportion to its size: each set is first held against the one set that
+meets others most often, as the original of many copies does.
 """
 
 from __future__ import annotations
@@ -109,34 +112,32 @@ def part_sums(s: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return part[starts], np.bitwise_xor.reduceat(mix64(s * np.uint64(0xA24BAED4963EE407)), starts)
 
 
-def signatures(s: np.ndarray, bands: Bands, frequent: np.ndarray) -> np.ndarray:
-    """Keys of a set; sets that link share one at least."""
+def signatures(s: np.ndarray, bands: Bands, frequent: np.ndarray) -> tuple[np.ndarray, int]:
+    """Keys of a set, and how many of them a link makes it share at least.
+
+    Of a band's parts at most ``difference`` differ, so parts - difference - empty ones that
+    hold shingles are equal.
+    """
     rare = s
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
         rare = s[frequent[at] != s]
-    keys = []
+    keys, shared = [], []
 
     def key(kind: int, band: int, part: np.ndarray, total: np.ndarray) -> None:
         keys.append(mix64(total ^ mix64(part.astype(np.uint64) + np.uint64((kind << 56) + (band << 32) + 1))))
 
-    def enter(kind: int, band: int, own: np.ndarray, parts: int, difference: int) -> bool:
-        """Keys of the first parts; false if a link could hide in empty ones.
-
-        Of the first difference + empty + 1 parts at most ``difference`` differ, so one that
-        isn't empty is equal; a partner with fewer keys is found by its own number likewise.
-        """
-        part, total = part_sums(own, parts)
-        empty = parts - len(part)
-        first = part < difference + empty + 1
-        key(kind, band, part[first], total[first])
-        return parts - difference > empty
-
     for band, parts, difference in bands.of(len(s)):
-        if not enter(0, band, rare, parts, difference) and not enter(1, band, s, parts, difference):
-            empty = np.setdiff1d(np.arange(parts), part_sums(s, parts)[0])
-            key(2, band, empty, np.zeros(len(empty), np.uint64))
-    return np.concatenate(keys)
+        part, total = part_sums(rare, parts)
+        key(0, band, part, total)
+        shared.append(max(1, len(part) - difference))
+        if len(part) <= difference:  # a link could hide in empty parts
+            part, total = part_sums(s, parts)
+            key(1, band, part, total)
+            if len(part) <= difference:
+                empty = np.setdiff1d(np.arange(parts), part)
+                key(2, band, empty, np.zeros(len(empty), np.uint64))
+    return np.concatenate(keys), min(shared)
 
 
 def profile(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -198,35 +199,12 @@ def frequent_shingles(counted: DataFrame, most: int = FREQUENT) -> np.ndarray:
     return np.sort(np.array([r.h for r in total.where(F.col("p") >= least).select("h").collect()], np.int64).astype(np.uint64))
 
 
-def likely(members: np.ndarray, size: np.ndarray, sketches: list[bytes], bands: Bands) -> np.ndarray:
-    """Those members of a group that sizes and sketches allow to link with another one."""
-    x, n = folded(sketches), size.astype(np.int64)
-
-    def fits(i, j):
-        return (apart(x[i], x[j]) <= (n[i] + n[j]) * (bands.den - bands.num) // (bands.den + bands.num)) & (np.minimum(n[i], n[j]) * bands.den >= np.maximum(n[i], n[j]) * bands.num)
-
-    if len(members) <= 48:
-        i, j = np.triu_indices(len(members), 1)
-        ok = fits(i, j)
-        return np.unique(np.concatenate([i[ok], j[ok]]))
-    linked = np.zeros(len(members), bool)
-    left = np.arange(len(members))
-    while len(left):  # members that fit an earlier one need not be compared with all others
-        first, rest = left[:1], left[1:]
-        ok = fits(first, rest)
-        if ok.any():
-            linked[first] = linked[rest[ok]] = True
-        elif not linked[first]:
-            linked[first] = fits(first, np.flatnonzero(linked)).any() if linked.any() else False
-        left = rest[~ok]
-    return np.flatnonzero(linked)
-
-
 def collisions(docs: DataFrame, text_col: str, n: int, bands: Bands, frequent: np.ndarray) -> DataFrame:
-    """(g, members): the sets (as packed f1) that share a signature and may link, each distinct group of a task once.
+    """Rows (g, members): the sets (as packed f1) that share a signature, each distinct group of a task once;
+    and one row a task (g null) of the sets that met others there, packed with how often and how often they must.
 
-    Signatures travel packed by bucket, one bucket to a partition: 6 bytes each, and for
-    every set of a packet its name, size and a sketch of about half a bit per shingle.
+    Signatures travel packed by bucket, one bucket to a partition: 5 bytes each, and for
+    every set of a packet its name and number.
     """
     width = shuffle_width(docs.sparkSession)
     home = np.array(bucket_keys(docs.sparkSession, width))
@@ -235,28 +213,26 @@ def collisions(docs: DataFrame, text_col: str, n: int, bands: Bands, frequent: n
         hashes, seen = WordHashes(), set()
         held: list[np.ndarray] = []
         names: list[int] = []
-        sizes: list[int] = []
-        short: list[bytes] = []
+        must: list[int] = []
         size = 0
 
         def flush():
             keys = np.concatenate(held)
             owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(k) for k in held])
-            bucket = (keys >> np.uint64(48)) % np.uint64(width)
+            bucket = (keys >> np.uint64(40)) % np.uint64(width)
             order = np.argsort(bucket, kind="stable")
             keys, owner, bucket = keys[order], owner[order], bucket[order].astype(np.int64)
             starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            rows: list[list] = [[], [], [], [], [], []]
-            name, count = np.array(names, np.int64), np.array(sizes, np.uint32)
+            rows: list[list] = [[], [], [], [], []]
+            name, least = np.array(names, np.int64), np.array(must, np.uint16)
             for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
                 own, local = np.unique(owner[a:b], return_inverse=True)
                 rows[0].append(int(home[bucket[a]]))
-                rows[1].append(keys[a:b].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+                rows[1].append(keys[a:b].view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
                 rows[2].append(np.diff(local, prepend=0).astype(np.uint8).tobytes())  # 0 or 1 each
                 rows[3].append(name[own].tobytes())
-                rows[4].append(count[own].tobytes())
-                rows[5].append([short[i] for i in own])
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:5]), pa.array(rows[5], pa.list_(pa.binary()))], ["bucket", "k", "d", "s", "n", "x"])
+                rows[4].append(least[own].tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["bucket", "k", "d", "s", "q"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -268,62 +244,72 @@ def collisions(docs: DataFrame, text_col: str, n: int, bands: Bands, frequent: n
                     continue
                 if len(seen) < 200_000:
                     seen.add(name)
-                held.append(signatures(s, bands, frequent))
+                keys, least = signatures(s, bands, frequent)
+                held.append(keys)
                 names.append(name[0])
-                sizes.append(len(s))
-                half = np.frombuffer(sketch(s), np.uint64)
-                while len(half) * 128 > max(256, len(s)):
-                    half = half[: len(half) // 2] ^ half[len(half) // 2 :]
-                short.append(half.tobytes())
-                size += len(held[-1])
+                must.append(min(least, 65_535))
+                size += len(keys)
                 if size >= 3_000_000:
                     yield flush()
-                    held, names, sizes, short, size = [], [], [], [], 0
+                    held, names, must, size = [], [], [], 0
         if held:
             yield flush()
 
     def meet(batches):
-        keys, owners, names, sizes, short, base = [], [], [], [], [], 0
+        keys, owners, names, musts, base = [], [], [], [], 0
         for batch in batches:
-            for _, k, d, s, c, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                full = np.zeros((len(k) // 6, 8), np.uint8)
-                full[:, :6] = np.frombuffer(k, np.uint8).reshape(-1, 6)
+            for _, k, d, s, q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                full = np.zeros((len(k) // 5, 8), np.uint8)
+                full[:, :5] = np.frombuffer(k, np.uint8).reshape(-1, 5)
                 keys.append(full.view(np.uint64).ravel())
-                owners.append(np.cumsum(np.frombuffer(d, np.uint8), dtype=np.int64) + base)
+                owners.append((np.cumsum(np.frombuffer(d, np.uint8), dtype=np.int64) + base).astype(np.int32))
                 names.append(np.frombuffer(s, np.int64))
-                sizes.append(np.frombuffer(c, np.uint32))
-                short += x
-                base += len(x)
+                musts.append(np.frombuffer(q, np.uint16))
+                base += len(names[-1])
         if not keys:
             return
-        key, owner, name, count = (np.concatenate(z) for z in (keys, owners, names, sizes))
-        keys = owners = names = sizes = None
-        order = np.argsort(key, kind="stable")
-        key = key[order]
+        # sets that came in several packets are one
+        name, first, alias = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+        must = np.concatenate(musts)[first].astype(np.int32)
+        key, owner = np.concatenate(keys), alias.ravel()[np.concatenate(owners)].astype(np.int32)
+        keys = owners = names = None
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        fresh = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
+        key, owner = key[fresh], owner[fresh]
         begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        ends = np.r_[begins[1:], len(key)]
-        several = ends - begins > 1
+        sizes = np.diff(np.r_[begins, len(key)])
+        met = np.bincount(owner[np.repeat(sizes > 1, sizes)], minlength=len(name)).astype(np.int32)
         found: dict[bytes, None] = {}
-        tried: set[bytes] = set()
-        for a, b in zip(begins[several].tolist(), ends[several].tolist(), strict=True):
-            members, at = np.unique(name[owner[order[a:b]]], return_index=True)
-            if len(members) > 1 and (packed := members.tobytes()) not in tried:
-                if len(tried) < 200_000:
-                    tried.add(packed)
-                who = owner[order[a:b]][at]
-                keep = likely(members, count[who], [short[i] for i in who.tolist()], bands)
-                if len(keep) > 1:
-                    found[members[keep].tobytes()] = None
+        for a, m in zip(begins[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            found[name[owner[a : a + m]].tobytes()] = None
+        some = met > 0
+        yield pa.RecordBatch.from_arrays([pa.array([name[some].tobytes()], pa.binary()), pa.array([met[some].tobytes()], pa.binary()), pa.array([must[some].tobytes()], pa.binary())], ["members", "met", "must"])
         rows = list(found)
         for at in range(0, len(rows), 2000):
-            yield pa.RecordBatch.from_arrays([pa.array(rows[at : at + 2000], pa.binary())], ["members"])
+            part = rows[at : at + 2000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.binary())], ["members", "met", "must"])
 
-    packets = docs.select(text_col).mapInArrow(sign, "bucket int, k binary, d binary, s binary, n binary, x array<binary>").repartition(width, "bucket")
-    return packets.mapInArrow(meet, "members binary").select(F.xxhash64("members").alias("g"), "members")
+    packets = docs.select(text_col).mapInArrow(sign, "bucket int, k binary, d binary, s binary, q binary").repartition(width, "bucket")
+    return packets.mapInArrow(meet, "members binary, met binary, must binary").select(F.when(F.col("met").isNull(), F.xxhash64("members")).alias("g"), "members", "met", "must")
+
+
+def meeting_sets(found: DataFrame) -> DataFrame:
+    """(f, met): the sets that share as many signatures with others as a link would make them share."""
+
+    def run(batches):
+        for batch in batches:
+            for members, met, must in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                columns = np.frombuffer(members, np.int64), np.frombuffer(met, np.int32), np.frombuffer(must, np.int32)
+                for at in range(0, len(columns[0]), 20_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 20_000]) for x in columns], ["f", "met", "must"])
+
+    rows = found.where("g is null").select("members", "met", "must").mapInArrow(run, "f long, met int, must int")
+    return rows.groupBy("f").agg(F.sum("met").alias("met"), F.min("must").alias("must")).where("met >= must").select("f", "met")
 
 
 def unpack(groups: DataFrame) -> DataFrame:
-    """(g, center, f): one row per member; center is the least."""
+    """(g, f): one row per member."""
 
     def run(batches):
         for batch in batches:
@@ -331,7 +317,7 @@ def unpack(groups: DataFrame) -> DataFrame:
                 f = np.frombuffer(m, np.int64)
                 for at in range(0, len(f), 50_000):
                     part = f[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), g)), pa.array(np.full(len(part), f[0])), pa.array(part)], ["g", "center", "f"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), g)), pa.array(part)], ["g", "f"])
 
     def packed(batches):
         """Small record batches joined, so that rows travel in thousands."""
@@ -345,7 +331,7 @@ def unpack(groups: DataFrame) -> DataFrame:
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    return groups.select("g", "members").mapInArrow(packed, "g long, center long, f long")
+    return groups.select("g", "members").mapInArrow(packed, "g long, f long")
 
 
 def may_link(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
@@ -424,13 +410,13 @@ def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, id_col: str, text
     return met.repartition(shuffle_width(spark), "a", "b").sortWithinPartitions("a", "b", "second").mapInArrow(compare, "a long, b long")
 
 
-def cross_pairs(groups: DataFrame, labels: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+def cross_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """Pairs within groups that join different components and may link.
 
     Members are dealt into blocks of about BLOCK; every two blocks of a group meet in a
     task of their own, whatever the group's size.
     """
-    rows = unpack(groups).select("g", "f").join(labels.select(F.col("node").alias("f"), F.col("component").alias("l")), "f", "left").select("g", "f", F.coalesce("l", "f").alias("l"))
+    rows = members.select("g", "f").join(labels.select(F.col("node").alias("f"), F.col("component").alias("l")), "f", "left").select("g", "f", F.coalesce("l", "f").alias("l"))
     open_ = rows.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo <> hi").select("g", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(open_, "g").join(sets.select(F.col("f1").alias("f"), "n", "bits"), "f")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int"))
@@ -471,12 +457,16 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     of_docs = rows.where("n is not null")
     frequent = frequent_shingles(rows)
     sets = of_docs.where("n > 0").groupBy("f1").agg(F.min("__id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")).checkpoint()
-    groups = collisions(docs, text_col, n, bands, frequent).dropDuplicates(["g"]).checkpoint()
-
-    stars = unpack(groups).where("f <> center").select(F.col("center").alias("a"), F.col("f").alias("b")).distinct()
-    first = may_link(stars, sets, bands).groupBy("b").agg(F.min("a").alias("a")).select("a", "b").checkpoint()
+    found = collisions(docs, text_col, n, bands, frequent).checkpoint()
+    alive = meeting_sets(found)
+    members = unpack(found.where("g is not null").select("g", "members").dropDuplicates(["g"])).join(alive, "f").select("g", "f", "met").checkpoint()
+
+    busiest = members.groupBy("g").agg(F.max(F.struct("met", "f")).alias("top"), F.count(F.lit(1)).alias("m")).where("m > 1").select("g", "top")
+    stars = members.join(busiest, "g").where(F.col("f") != F.col("top.f")).groupBy(F.col("top.f").alias("a"), F.col("f").alias("b")).agg(F.max("top.met").alias("met")).checkpoint()
+    likely = may_link(stars, sets, bands).join(stars, ["a", "b"])
+    first = likely.groupBy("b").agg(F.max(F.struct("met", "a")).alias("top")).select(F.col("top.a").alias("a"), "b").checkpoint()
     linked = verify(first, docs, sets, id_col, text_col, n, bands).checkpoint()
-    more = cross_pairs(groups, components(linked), sets, bands).checkpoint()
+    more = cross_pairs(members, components(linked), sets, bands).checkpoint()
     linked = linked.union(verify(more, docs, sets, id_col, text_col, n, bands)).checkpoint()
 
     nodes = components(linked)
