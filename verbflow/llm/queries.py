@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, langid, lm_score, ngram_join, packing, suffix_dedup, topk, toxicity
+from . import bpe, embedding_dedup, html_extract, langid, lm_score, ngram_join, packing, suffix_dedup, topk, toxicity
 from .common import crc_fold, table
 
 
@@ -99,6 +99,12 @@ FROM least LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) U
 """
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages.select("page_id", "url", "html"), html_extract.fit_labeller(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest integer inner products of every vector whose id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -134,6 +140,7 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_html_extract": op4_html_extract,
     "op5_topk_search": op5_topk_search,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_toxicity": op7_toxicity,
