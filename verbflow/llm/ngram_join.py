@@ -103,13 +103,13 @@ class Bands:
         return out
 
 
-def part_sums(s: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The parts that hold shingles and the XOR of each."""
+def part_sums(s: np.ndarray, mixed: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parts that hold shingles and the XOR of each one's ``mixed``."""
     if not len(s):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     part = ((s >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # s is sorted, so part is
     starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    return part[starts], np.bitwise_xor.reduceat(mix64(s * np.uint64(0xA24BAED4963EE407)), starts)
+    return part[starts], np.bitwise_xor.reduceat(mixed, starts)
 
 
 def signatures(s: np.ndarray, bands: Bands, frequent: np.ndarray) -> tuple[np.ndarray, int]:
@@ -118,21 +118,23 @@ def signatures(s: np.ndarray, bands: Bands, frequent: np.ndarray) -> tuple[np.nd
     Of a band's parts at most ``difference`` differ, so parts - difference - empty ones that
     hold shingles are equal.
     """
-    rare = s
+    mixed = mix64(s * np.uint64(0xA24BAED4963EE407))
+    rare, rare_mixed = s, mixed
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        rare = s[frequent[at] != s]
+        keep = frequent[at] != s
+        rare, rare_mixed = s[keep], mixed[keep]
     keys, shared = [], []
 
     def key(kind: int, band: int, part: np.ndarray, total: np.ndarray) -> None:
         keys.append(mix64(total ^ mix64(part.astype(np.uint64) + np.uint64((kind << 56) + (band << 32) + 1))))
 
     for band, parts, difference in bands.of(len(s)):
-        part, total = part_sums(rare, parts)
+        part, total = part_sums(rare, rare_mixed, parts)
         key(0, band, part, total)
         shared.append(max(1, len(part) - difference))
         if len(part) <= difference:  # a link could hide in empty parts
-            part, total = part_sums(s, parts)
+            part, total = part_sums(s, mixed, parts)
             key(1, band, part, total)
             if len(part) <= difference:
                 empty = np.setdiff1d(np.arange(parts), part)
@@ -201,7 +203,7 @@ def frequent_shingles(counted: DataFrame, most: int = FREQUENT) -> np.ndarray:
 
 def collisions(docs: DataFrame, text_col: str, n: int, bands: Bands, frequent: np.ndarray) -> DataFrame:
     """Rows (g, members): the sets (as packed f1) that share a signature, each distinct group of a task once;
-    and one row a task (g null) of the sets that met others there, packed with how often and how often they must.
+    and rows (g null) of the sets that met others there, packed by bucket with how often and how often they must.
 
     Signatures travel packed by bucket, one bucket to a partition: 5 bytes each, and for
     every set of a packet its name and number.
@@ -219,9 +221,9 @@ def collisions(docs: DataFrame, text_col: str, n: int, bands: Bands, frequent: n
         def flush():
             keys = np.concatenate(held)
             owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(k) for k in held])
-            bucket = (keys >> np.uint64(40)) % np.uint64(width)
+            bucket = ((keys >> np.uint64(40)) % np.uint64(width)).astype(np.uint16 if width <= 1 << 16 else np.int64)
             order = np.argsort(bucket, kind="stable")
-            keys, owner, bucket = keys[order], owner[order], bucket[order].astype(np.int64)
+            keys, owner, bucket = keys[order], owner[order], bucket[order]
             starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             rows: list[list] = [[], [], [], [], []]
             name, least = np.array(names, np.int64), np.array(must, np.uint16)
@@ -283,29 +285,40 @@ def collisions(docs: DataFrame, text_col: str, n: int, bands: Bands, frequent: n
         found: dict[bytes, None] = {}
         for a, m in zip(begins[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
             found[name[owner[a : a + m]].tobytes()] = None
-        some = met > 0
-        yield pa.RecordBatch.from_arrays([pa.array([name[some].tobytes()], pa.binary()), pa.array([met[some].tobytes()], pa.binary()), pa.array([must[some].tobytes()], pa.binary())], ["members", "met", "must"])
+        some = np.flatnonzero(met > 0)
+        target = (name[some].view(np.uint64) % np.uint64(width)).astype(np.int64)
+        some, target = some[np.argsort(target, kind="stable")], np.sort(target)
+        cuts = np.searchsorted(target, np.arange(width + 1))
+        for b in range(width):
+            part = some[cuts[b] : cuts[b + 1]]
+            if len(part):
+                yield pa.RecordBatch.from_arrays([pa.array([int(home[b])], pa.int32()), pa.array([name[part].tobytes()], pa.binary()), pa.array([met[part].tobytes()], pa.binary()), pa.array([must[part].tobytes()], pa.binary())], ["bucket", "members", "met", "must"])
         rows = list(found)
         for at in range(0, len(rows), 2000):
             part = rows[at : at + 2000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.binary())], ["members", "met", "must"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int32()), pa.array(part, pa.binary()), pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.binary())], ["bucket", "members", "met", "must"])
 
     packets = docs.select(text_col).mapInArrow(sign, "bucket int, k binary, d binary, s binary, q binary").repartition(width, "bucket")
-    return packets.mapInArrow(meet, "members binary, met binary, must binary").select(F.when(F.col("met").isNull(), F.xxhash64("members")).alias("g"), "members", "met", "must")
+    return packets.mapInArrow(meet, "bucket int, members binary, met binary, must binary").select("bucket", F.when(F.col("met").isNull(), F.xxhash64("members")).alias("g"), "members", "met", "must")
 
 
 def meeting_sets(found: DataFrame) -> DataFrame:
     """(f, met): the sets that share as many signatures with others as a link would make them share."""
 
-    def run(batches):
-        for batch in batches:
-            for members, met, must in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                columns = np.frombuffer(members, np.int64), np.frombuffer(met, np.int32), np.frombuffer(must, np.int32)
-                for at in range(0, len(columns[0]), 20_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 20_000]) for x in columns], ["f", "met", "must"])
+    def add(batches):
+        parts = [(np.frombuffer(x, np.int64), np.frombuffer(m, np.int32), np.frombuffer(q, np.int32)) for batch in batches for x, m, q in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
+        if not parts:
+            return
+        name, met, must = (np.concatenate(z) for z in zip(*parts, strict=True))
+        f, first, which = np.unique(name, return_index=True, return_inverse=True)
+        total = np.bincount(which.ravel(), met, len(f)).astype(np.int64)
+        keep = total >= must[first]  # a set's number is the same wherever it came from
+        f, total = f[keep], total[keep]
+        for at in range(0, len(f), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(f[at : at + 20_000]), pa.array(total[at : at + 20_000])], ["f", "met"])
 
-    rows = found.where("g is null").select("members", "met", "must").mapInArrow(run, "f long, met int, must int")
-    return rows.groupBy("f").agg(F.sum("met").alias("met"), F.min("must").alias("must")).where("met >= must").select("f", "met")
+    width = shuffle_width(found.sparkSession)
+    return found.where("g is null").select("bucket", "members", "met", "must").repartition(width, "bucket").mapInArrow(add, "f long, met long")
 
 
 def unpack(groups: DataFrame) -> DataFrame:
@@ -410,8 +423,8 @@ def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, id_col: str, text
     return met.repartition(shuffle_width(spark), "a", "b").sortWithinPartitions("a", "b", "second").mapInArrow(compare, "a long, b long")
 
 
-def cross_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs within groups that join different components and may link.
+def cross_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, bands: Bands, nearest: bool = False) -> DataFrame:
+    """Pairs within groups that join different components and may link; with ``nearest`` only the likeliest of each set in a group.
 
     Members are dealt into blocks of about BLOCK; every two blocks of a group meet in a
     task of their own, whatever the group's size.
@@ -431,10 +444,13 @@ def cross_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, bands: B
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         out = []
         for x in left.tolist():
-            y = right[(l[right] != l[x]) & ((f[right] > f[x]) if i == j else True)]
+            y = right[(l[right] != l[x]) & ((f[right] > f[x]) if i == j and not nearest else True)]
             if len(y):
                 allowed = (n[y] + n[x]) * (bands.den - bands.num) // (bands.den + bands.num)
-                ok = (np.minimum(n[y], n[x]) * bands.den >= np.maximum(n[y], n[x]) * bands.num) & (apart(bits[y], bits[x]) <= allowed)
+                far = apart(bits[y], bits[x])
+                ok = (np.minimum(n[y], n[x]) * bands.den >= np.maximum(n[y], n[x]) * bands.num) & (far <= allowed)
+                if nearest and ok.any():
+                    ok = np.flatnonzero(ok)[[np.argmin(far[ok] - allowed[ok])]]
                 out.append(np.stack([np.minimum(f[x], f[y[ok]]), np.maximum(f[x], f[y[ok]])]))
         both = np.concatenate(out, 1) if out else np.empty((2, 0), np.int64)
         return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1])})
@@ -466,6 +482,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     likely = may_link(stars, sets, bands).join(stars, ["a", "b"])
     first = likely.groupBy("b").agg(F.max(F.struct("met", "a")).alias("top")).select(F.col("top.a").alias("a"), "b").checkpoint()
     linked = verify(first, docs, sets, id_col, text_col, n, bands).checkpoint()
+    # most sets that the busiest one doesn't hold link with their nearest; what is then still apart is compared in full
+    near = cross_pairs(members, components(linked), sets, bands, nearest=True).checkpoint()
+    linked = linked.union(verify(near, docs, sets, id_col, text_col, n, bands)).checkpoint()
     more = cross_pairs(members, components(linked), sets, bands).checkpoint()
     linked = linked.union(verify(more, docs, sets, id_col, text_col, n, bands)).checkpoint()
 
