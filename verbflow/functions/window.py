@@ -56,6 +56,7 @@ def _rank(name: str, x: Any, value, dtype: T.DataType, ties: bool = True) -> Cal
     def build(mask: Mask, node: Expr) -> Val:
         key, gone = _ranked(mask, node)
         if ties:
+            mask.whole()  # fixes the row order
             over = Window.partitionBy(*mask.keys(), gone).orderBy(key)
         else:
             over = mask.ordered([key], [gone])

@@ -106,6 +106,8 @@ class Mask:
         return [c(g) for g in self.groups]
 
     def whole(self) -> WindowSpec:
+        """All rows of a group; the shuffle it takes would lose a row order that isn't written down."""
+        self.table = self.table.with_order()
         return Window.partitionBy(*self.keys())
 
     def ordered(self, first: list[Column] = (), split: list[Column] = ()) -> WindowSpec:
