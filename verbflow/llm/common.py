@@ -86,7 +86,7 @@ def text_chunks(texts: Iterable[str | None], budget: int = 4 << 20) -> Iterator[
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to ``limit`` words and then begun anew."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 400_000):
         super().__init__()
         self.limit = limit
 

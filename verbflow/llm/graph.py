@@ -11,7 +11,7 @@ from .common import ensure_checkpoint_dir
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node that occurs in ``edges`` (a, b); component is the least node.
 
-    Each round shrinks paths to stars; a hub's edges are dealt out by the join's skew
+    Each round shrinks paths to stars (repeats fall out once a round); a hub's edges are dealt out by the join's skew
     handling and its minimum by partial aggregation.  The edges of each round are written
     to the checkpoint folder, so a lost executor costs no more than the round.  Loops and
     repeated edges do no harm; empty edges give no rows.

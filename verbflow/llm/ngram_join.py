@@ -424,7 +424,7 @@ def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, id_col: str, text
 
 
 def cross_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, bands: Bands, nearest: bool = False) -> DataFrame:
-    """Pairs within groups that join different components and may link; with ``nearest`` only the likeliest of each set in a group.
+    """Pairs within groups that join different components and may link; with ``nearest`` only the likeliest of each set.
 
     Members are dealt into blocks of about BLOCK; every two blocks of a group meet in a
     task of their own, whatever the group's size.
@@ -442,20 +442,33 @@ def cross_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, bands: B
         bits = folded(t.column("bits").to_pylist())
         i, j = int(t.column("i")[0].as_py()), int(t.column("j")[0].as_py())
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out = []
-        for x in left.tolist():
-            y = right[(l[right] != l[x]) & ((f[right] > f[x]) if i == j and not nearest else True)]
-            if len(y):
-                allowed = (n[y] + n[x]) * (bands.den - bands.num) // (bands.den + bands.num)
-                far = apart(bits[y], bits[x])
-                ok = (np.minimum(n[y], n[x]) * bands.den >= np.maximum(n[y], n[x]) * bands.num) & (far <= allowed)
-                if nearest and ok.any():
-                    ok = np.flatnonzero(ok)[[np.argmin(far[ok] - allowed[ok])]]
-                out.append(np.stack([np.minimum(f[x], f[y[ok]]), np.maximum(f[x], f[y[ok]])]))
-        both = np.concatenate(out, 1) if out else np.empty((2, 0), np.int64)
-        return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1])})
-
-    return keyed.groupBy("g", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+        out = [np.empty((3, 0), np.int64)]
+        rows = max(1, 200_000 // max(1, len(right)))
+        for at in range(0, len(left), rows):
+            some = left[at : at + rows]
+            open_pair = l[some][:, None] != l[right][None, :]
+            if i == j and not nearest:
+                open_pair &= f[right][None, :] > f[some][:, None]
+            p, q = np.nonzero(open_pair)
+            p, q = some[p], right[q]
+            spare = (n[p] + n[q]) * (bands.den - bands.num) // (bands.den + bands.num) - apart(bits[p], bits[q])
+            ok = (spare >= 0) & (np.minimum(n[p], n[q]) * bands.den >= np.maximum(n[p], n[q]) * bands.num)
+            p, q, spare = p[ok], q[ok], spare[ok]
+            if nearest and len(p):
+                best = np.lexsort((-spare, p))
+                p, q, spare = p[best], q[best], spare[best]
+                lead = np.r_[True, p[1:] != p[:-1]]
+                p, q, spare = p[lead], q[lead], spare[lead]
+            out.append(np.stack([f[p], f[q], spare]))
+        a, b, spare = np.concatenate(out, 1)
+        if not nearest:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "spare": pa.array(spare)})
+
+    met = keyed.groupBy("g", "i", "j").applyInArrow(meet, "a long, b long, spare long")
+    if nearest:
+        return met.groupBy("a").agg(F.max(F.struct("spare", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
+    return met.select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -483,7 +496,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     first = likely.groupBy("b").agg(F.max(F.struct("met", "a")).alias("top")).select(F.col("top.a").alias("a"), "b").checkpoint()
     linked = verify(first, docs, sets, id_col, text_col, n, bands).checkpoint()
     # most sets that the busiest one doesn't hold link with their nearest; what is then still apart is compared in full
-    near = cross_pairs(members, components(linked), sets, bands, nearest=True).checkpoint()
+    held = linked.select(F.col("b").alias("node"), F.col("a").alias("component"))  # every set has one busiest partner at most
+    near = cross_pairs(members, held, sets, bands, nearest=True).checkpoint()
     linked = linked.union(verify(near, docs, sets, id_col, text_col, n, bands)).checkpoint()
     more = cross_pairs(members, components(linked), sets, bands).checkpoint()
     linked = linked.union(verify(more, docs, sets, id_col, text_col, n, bands)).checkpoint()
