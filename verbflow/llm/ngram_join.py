@@ -436,11 +436,9 @@ def cross_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, bands: B
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     keyed = rows.select("g", "f", "l", "n", "bits", "block", other.alias("other")).select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "f", "l", "n", "bits")
 
-    def meet(t: pa.Table) -> pa.Table:
-        f, l, n, block = (t.column(c).to_numpy() for c in ("f", "l", "n", "block"))
-        n = n.astype(np.int64)
-        bits = folded(t.column("bits").to_pylist())
-        i, j = int(t.column("i")[0].as_py()), int(t.column("j")[0].as_py())
+    def pairs_of(i: int, j: int, block: np.ndarray, f: np.ndarray, l: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+        """(a, b, spare difference) of two blocks of a group."""
+        bits = folded(sketches)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         out = [np.empty((3, 0), np.int64)]
         rows = max(1, 200_000 // max(1, len(right)))
@@ -453,19 +451,56 @@ def cross_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, bands: B
             p, q = some[p], right[q]
             spare = (n[p] + n[q]) * (bands.den - bands.num) // (bands.den + bands.num) - apart(bits[p], bits[q])
             ok = (spare >= 0) & (np.minimum(n[p], n[q]) * bands.den >= np.maximum(n[p], n[q]) * bands.num)
-            p, q, spare = p[ok], q[ok], spare[ok]
-            if nearest and len(p):
-                best = np.lexsort((-spare, p))
-                p, q, spare = p[best], q[best], spare[best]
-                lead = np.r_[True, p[1:] != p[:-1]]
-                p, q, spare = p[lead], q[lead], spare[lead]
-            out.append(np.stack([f[p], f[q], spare]))
-        a, b, spare = np.concatenate(out, 1)
-        if not nearest:
-            a, b = np.minimum(a, b), np.maximum(a, b)
-        return pa.table({"a": pa.array(a), "b": pa.array(b), "spare": pa.array(spare)})
-
-    met = keyed.groupBy("g", "i", "j").applyInArrow(meet, "a long, b long, spare long")
+            a, b = f[p[ok]], f[q[ok]]
+            out.append(np.stack([a, b, spare[ok]] if nearest else [np.minimum(a, b), np.maximum(a, b), spare[ok]]))
+        return np.concatenate(out, 1)
+
+    def once(found: list[np.ndarray]) -> np.ndarray:
+        """Each pair once; with ``nearest`` each set's likeliest."""
+        a, b, spare = np.concatenate(found, 1)
+        order = np.lexsort((b, -spare, a) if nearest else (b, a))
+        a, b, spare = a[order], b[order], spare[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (False if nearest else b[1:] != b[:-1])] if len(a) else np.empty(0, bool)
+        return np.stack([a[new], b[new], spare[new]])
+
+    def meet(batches):
+        """Rows come sorted by group and blocks; a group's last rows may come with the next batch."""
+        found, size = [np.empty((3, 0), np.int64)], 0
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if not t.num_rows:
+                continue
+            g, i, j = (t.column(c).to_numpy() for c in ("g", "i", "j"))
+            starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            rest = t.slice(int(starts[-1]))
+            found, size = compared(t, starts, i, j, found, size)
+            if size >= 2_000_000:
+                found = [once(found)]
+                size = found[0].shape[1]
+                if size >= 1_000_000:
+                    yield packed(found[0])
+                    found, size = [np.empty((3, 0), np.int64)], 0
+        if rest is not None:
+            found, size = compared(rest, np.array([0, rest.num_rows]), rest.column("i").to_numpy(), rest.column("j").to_numpy(), found, size)
+        pairs = once(found)
+        for at in range(0, pairs.shape[1], 50_000):
+            yield packed(pairs[:, at : at + 50_000])
+
+    def packed(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b", "spare"])
+
+    def compared(t: pa.Table, starts: np.ndarray, i: np.ndarray, j: np.ndarray, found: list[np.ndarray], size: int):
+        """Pairs of all groups between consecutive starts."""
+        block, f, l, n = (t.column(c).to_numpy() for c in ("block", "f", "l", "n"))
+        n, sketches = n.astype(np.int64), t.column("bits").to_pylist()
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if b - a > 1:
+                found.append(pairs_of(int(i[a]), int(j[a]), block[a:b], f[a:b], l[a:b], n[a:b], sketches[a:b]))
+                size += found[-1].shape[1]
+        return found, size
+
+    met = keyed.repartition(shuffle_width(members.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(meet, "a long, b long, spare long")
     if nearest:
         return met.groupBy("a").agg(F.max(F.struct("spare", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
     return met.select("a", "b").distinct()
