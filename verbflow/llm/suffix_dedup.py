@@ -132,7 +132,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 o = np.lexsort((s, r, bucket))
                 r, s, n, m, bucket = r[o], s[o], n[o], m[o], bucket[o]
                 cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(r) else []
-                for a, b in zip(cuts, [*cuts[1:], len(r)], strict=True):
+                for a, b in zip(cuts, [*cuts[1:], len(r)] if len(r) else [], strict=True):
                     own, local = np.unique(r[a:b], return_inverse=True)
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -208,7 +208,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         o = np.lexsort((start, rank, bucket))
         rank, start, first, bucket = rank[o], start[o], first[o], bucket[o]
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(rank) else []
-        for a, b in zip(cuts, [*cuts[1:], len(rank)], strict=True):
+        for a, b in zip(cuts, [*cuts[1:], len(rank)] if len(rank) else [], strict=True):
             own, local = np.unique(rank[a:b], return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array([int(home[bucket[a]])], pa.int32()), pa.array([np.diff(local, prepend=0).astype(np.uint8).tobytes()], pa.binary()), pa.array([zlib.compress(start[a:b].astype("<u4").tobytes(), 1)], pa.binary()), pa.array([np.packbits(first[a:b]).tobytes()], pa.binary()), pa.array([name[own].tolist()], pa.list_(id_type))], ["bucket", "d", "s", "f", "ids"])
 
