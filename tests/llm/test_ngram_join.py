@@ -63,6 +63,13 @@ def test_repeated_rows_and_null_ids(documents, prose):
     assert got == [(False, 3, 3), (False, 7, 3), (False, 7, 3), (True, 0, 3)]
 
 
+def test_blank_text_that_the_bitmap_lets_through(documents, prose):
+    """A blank row that shares a representative's id leaves the ids of the other texts of its batch alone."""
+    t = prose(50, 6)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(documents((1, " "), (1, t), (2, t + " end"), (3, "")).coalesce(1)).collect())
+    assert got == [(1, 0, 1), (1, 46, 1), (2, 47, 1), (3, 0, 3)]
+
+
 def test_empty_table(documents, spark):
     assert ngram_join.jaccard_components(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
 

@@ -388,13 +388,14 @@ def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, id_col: str, text
         for batch in batches:
             h = batch.column(0).to_numpy()
             picked = np.flatnonzero((sent.value[h >> 6] >> (h & 63)) & 1)
-            names, packed = [], []
+            kept, names, packed = [], [], []
             for i in picked.tolist():
                 s = shingles(hashes.of(ascii_words(batch.column(1)[i].as_py())), n)
-                if len(s):
+                if len(s):  # the bitmap also lets texts without words through
+                    kept.append(i)
                     names.append(fingerprints(s)[0])
                     packed.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(picked, pa.int64())) if len(names) == len(picked) else pa.nulls(len(names), batch.column(2).type), pa.array(names, pa.int64()), pa.array(packed, pa.binary())], ["__id", "f1", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(kept, pa.int64())), pa.array(names, pa.int64()), pa.array(packed, pa.binary())], ["__id", "f1", "packed"])
 
     def compare(batches):
         """Rows come sorted by pair: both sets of a pair follow each other (repeated rows repeat a side)."""
