@@ -105,6 +105,32 @@ def test_lm_beats_unigram_on_new_words(spark):
     assert len(held) == 40 and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_tables_and_stream_grow_with_the_training_words(spark, monkeypatch):
+    """More distinct words get more slots, every class has its own counts, and longer corpora a longer stream."""
+    assert lm_score.doublings(10) == 0 and lm_score.doublings(3 << 19) == 2 and lm_score.doubled(int(lm_score.BASE[-1]) << 3) == 3
+    words = [b"%d" % i for i in range(3000)]
+    h = lm_score.contexts(words)
+    taken = [len(np.unique(lm_score.all_slots(h[2], h[0], 7, 0, extra)[4])) for extra in (0, 3)]
+    assert taken[0] < taken[1]
+    monkeypatch.setattr(lm_score, "SLOTS", (6, 6, 6, 6, 6, 6))
+    monkeypatch.setattr(lm_score, "BASE", np.arange(7) * 64)
+    monkeypatch.setattr(lm_score, "TOKENS_PER_STEP", 2)
+    streams, sizes, least = [], [], []
+    real, of = lm_score.Mixer.merge, lm_score.Mixer.of
+
+    def merge(self, parts):
+        real(self, parts)
+        streams.append(self.used.sum())
+        least.append(self.classes)
+
+    monkeypatch.setattr(lm_score.Mixer, "merge", merge)
+    monkeypatch.setattr(lm_score.Mixer, "of", classmethod(lambda cls, tables, classes: sizes.append(tables.shape[1]) or of(tables, classes)))
+    for n in (20, 200):
+        df = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(20)), True, f"k{i % 9}") for i in range(n)], "doc_id bigint, text string, learn boolean, lang string")
+        assert df.count() == lm_score.score_texts(df, learn_col="learn", stream_words=10).count()
+    assert sizes[1] > sizes[0] and streams[1] > 5 * streams[0] and least == [10, 10]
+
+
 def test_lm_probabilities_add_up():
     """Over all continuations of a prefix the bits' probabilities sum to one."""
     tables = np.zeros((2, lm_score.BASE[-1]), np.float32)
