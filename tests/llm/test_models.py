@@ -64,6 +64,15 @@ def test_langid(spark):
     assert langid.fit_langid(test.where("false")) is None
 
 
+def test_langid_learns_from_all_of_a_long_word(spark, monkeypatch):
+    """Texts without spaces count with all their pieces, as they are read when predicting."""
+    seen = {}
+    monkeypatch.setattr(langid.BiGru, "learn", lambda self, words, **_: seen.update(words))
+    text = "日本語" * 9
+    langid.fit_langid(spark.createDataFrame([(1, text + " ka", "ja")], "doc_id bigint, text string, lang string"))
+    assert b"".join(seen["ja"]) == text.encode() + b"ka" and max(map(len, seen["ja"])) == langid.SPAN
+
+
 def test_langid_gradient():
     """Backpropagation through time against finite differences."""
     model = langid.BiGru(["a", "b"], embed=3, hidden=4, seed=1)

@@ -211,7 +211,7 @@ def fit_langid(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     total = docs.where(F.col(lang_col).isNotNull()).count()
     words: dict[str, list[bytes]] = {}
     for r in hash_sample(usable, "__id", total, sample_rows).select("l", "t").orderBy("l", "__id", "t").toLocalIterator():
-        words.setdefault(r.l, []).extend(w[:SPAN] for w in ascii_words(r.t))
+        words.setdefault(r.l, []).extend(w[at : at + SPAN] for w in ascii_words(r.t) for at in range(0, len(w), SPAN))
     words = {k: v for k, v in sorted(words.items()) if v}
     if not words:
         return None
