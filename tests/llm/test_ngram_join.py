@@ -7,6 +7,7 @@ import pytest
 
 from verbflow.llm import ngram_join
 from verbflow.llm.common import WordHashes, ascii_words
+from verbflow.llm.graph import components
 
 
 def brute(rows):
@@ -57,6 +58,32 @@ def test_equals_brute_force(documents, rows):
     assert got == brute(rows)
 
 
+def test_large_groups_are_dealt_into_blocks(documents, rows, monkeypatch):
+    """Groups of many blocks, by count or by bytes, give the same components."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 4096)
+    monkeypatch.setattr(ngram_join, "PAIRS", 0.2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(documents(*rows)).collect()}
+    assert got == brute(rows)
+
+
+def test_a_block_hands_on_a_forest(prose):
+    """Links of a family of near copies: one fewer than the sets, whatever the number of linked pairs."""
+    rng, hashes, bands = random.Random(5), WordHashes(), ngram_join.Bands(75, 100)
+    family = prose(200, 1)
+    sets = [ngram_join.shingles(hashes.of(ascii_words(edited(family, 2, rng))), 5) for _ in range(60)] + [ngram_join.shingles(hashes.of(ascii_words(prose(200, 2))), 5)]
+    names, every, labels = list(range(len(sets))), np.arange(len(sets)), ngram_join.Labels()
+    links = ngram_join.block_links(every, every, names, names, np.array([len(s) for s in sets]), [ngram_join.sketch(s) for s in sets], [s.tobytes() for s in sets], bands, labels)
+    assert len(links) == 59 and len({labels.find(i) for i in range(60)}) == 1 and labels.find(60) == 60
+    assert all(ngram_join.reaches(sets[a], sets[b], 75, 100) for a, b in links)
+
+
+def test_clashing_columns(spark, prose):
+    t = prose(50, 7)
+    df = spark.createDataFrame([(5, t, 1, 2, 3), (4, t + " end", 1, 2, 3)], "doc_id bigint, text string, n int, component_id int, g int")
+    assert sorted((r.doc_id, r.component_id) for r in ngram_join.jaccard_components(df).collect()) == [(4, 4), (5, 4)]
+
+
 def test_repeated_rows_and_null_ids(documents, prose):
     t = prose(50, 5)
     got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in ngram_join.jaccard_components(documents((7, t), (7, t), (None, t), (3, t + " end"))).collect())
@@ -70,6 +97,16 @@ def test_blank_text_that_the_bitmap_lets_through(documents, prose):
     assert got == [(1, 0, 1), (1, 46, 1), (2, 47, 1), (3, 0, 3)]
 
 
+def test_components_of_few_and_of_many_edges(spark):
+    """One task and rounds of stars agree: paths, stars, loops, repeated edges."""
+    rng = random.Random(3)
+    edges = [(rng.randrange(-40, 200), rng.randrange(-40, 200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(7, 7), (1, 2), (2, 1)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one, many = (sorted(map(tuple, components(df, at_once=k).collect())) for k in (10**6, 0))
+    assert one == many and (340, 300) in one
+    assert components(df.where("false")).collect() == []
+
+
 def test_empty_table(documents, spark):
     assert ngram_join.jaccard_components(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
 

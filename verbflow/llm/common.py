@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,10 +24,16 @@ def crc_fold(column: str, folds: int) -> Column:
 
 
 def hash_sample(df: DataFrame, key: str, rows: int, bound: int, salt: int = 17) -> DataFrame:
-    """About ``bound`` of ``rows`` rows, picked by a hash of ``key``: the same rows at every run."""
+    """At most ``bound`` of ``rows`` rows, those with the least hashes of ``key``: the same rows at every run.
+
+    A threshold on all 63 bits of the hash keeps about four times the bound before the sort, so
+    that the sort is small however many rows there are; ``rows`` may be an overcount.
+    """
     if rows <= bound:
         return df
-    return df.where(F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1_000_000)) < int(1_000_000 * bound / rows))
+    hashed = df.withColumn("__h", F.xxhash64(F.lit(salt), F.col(key)).bitwiseAND((1 << 63) - 1))
+    near = hashed.where(F.col("__h") <= F.lit(min((1 << 63) - 1, (1 << 63) * (4 * bound + 64) // rows)))
+    return near.orderBy("__h").limit(bound).drop("__h")
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -53,12 +60,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix="checkpoints-")
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         spark.sparkContext.setCheckpointDir(shared)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that nothing refers to any more.
+
+    Spark does so when the driver's garbage is collected, of its own accord every 30 minutes only.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case, as UTF-8.
 

@@ -15,9 +15,11 @@ they occur in very many documents: leaving the same ones out on both sides only
 difference.  A set with so many empty parts that a link could hide in them also enters
 with parts of all its shingles, and if that is not enough with its empty parts.
 
-Only pairs that can connect groups not yet connected are verified, so a group of copies
+Only pairs that can connect what isn't connected yet are verified, so a group of copies
 costs links in proportion to its size: each set is first held against the one set that
-meets others most often, as the original of many copies does.
+meets others most often, as the original of many copies does, then against its largest
+group, and at last against all its groups.  Sets are verified where they meet, and a task
+hands on a spanning forest of the links it finds rather than all pairs.
 """
 
 from __future__ import annotations
@@ -28,12 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, ascii_words, bucket_keys, ensure_checkpoint_dir, gram_hashes, mix64, shuffle_width
+from .common import WordHashes, ascii_words, bucket_keys, ensure_checkpoint_dir, gram_hashes, mix64, release, shuffle_width
 from .graph import components
 
 #: At most so many shingles are set apart as very frequent; any choice gives the same links.
 FREQUENT = 65_536
+#: Sets of a group that meet in a task: so many, and with so many bytes of shingles, on either side.
 BLOCK = 4096
+BLOCK_BYTES = 32 << 20
+#: A block's pairs that may link travel as pairs if there are at most so many for each of its sets.
+PAIRS = 2
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -348,39 +354,32 @@ def unpack(groups: DataFrame) -> DataFrame:
 
 
 def may_link(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs (a, b) that sizes and the Hamming bound of the sketches leave."""
+    """Pairs (a, b, met) that sizes and the Hamming bound of the sketches leave."""
 
     def run(batches):
         for batch in batches:
             na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
             if not len(na):
                 continue
-            difference = np.array([apart(*folded([x, y])) for x, y in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True)])
-            allowed = (na + nb) * (bands.den - bands.num) // (bands.den + bands.num)
-            keep = (difference <= allowed) & (np.minimum(na, nb) * bands.den >= np.maximum(na, nb) * bands.num)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            keep = np.array([spare(*z, bands) >= 0 for z in zip(na.tolist(), nb.tolist(), batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True)], bool)
+            yield batch.select(["a", "b", "met"]).filter(pa.array(keep))
 
     known = lambda c: sets.select(F.col("f1").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
-    return pairs.join(known("a"), "a").join(known("b"), "b").select("a", "b", "na", "xa", "nb", "xb").mapInArrow(run, "a long, b long")
+    return pairs.join(known("a"), "a").join(known("b"), "b").select("a", "b", "met", "na", "xa", "nb", "xb").mapInArrow(run, "a long, b long, met long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, n: int, bands: Bands) -> DataFrame:
-    """The pairs (a, b) of sets whose Jaccard similarity reaches the threshold.
+def read_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(f1, packed): the sorted shingles of the wanted sets (f1, rep), each once.
 
-    Only texts that stand for a set in ``pairs`` are read into shingles again.  They are
-    picked by a bitmap of their ids of fixed size (1 MB); what it lets through by chance
-    falls out in the join.
+    Only texts that stand for a wanted set are read into shingles again.  They are picked by
+    a bitmap of their ids of fixed size (1 MB); what it lets through by chance falls out in
+    the join.
     """
     spark = docs.sparkSession
     bits = 1 << 23
-    wanted = pairs.select(F.col("a").alias("f1")).union(pairs.select("b")).distinct()
-    ids = sets.join(wanted, "f1").select(F.pmod(F.xxhash64("rep"), F.lit(bits)).alias("h"))
-    words = ids.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("v")).collect()
+    words = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(bits)).alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("v")).toArrow()
     bitmap = np.zeros(bits // 64, np.int64)
-    for r in words:
-        bitmap[r.w] = r.v
-    if not words:
-        return spark.createDataFrame([], "a long, b long")
+    bitmap[words.column("w").to_numpy()] = words.column("v").to_numpy()
     sent = spark.sparkContext.broadcast(bitmap)
 
     def read(batches):
@@ -397,76 +396,139 @@ def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, id_col: str, text
                     packed.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(kept, pa.int64())), pa.array(names, pa.int64()), pa.array(packed, pa.binary())], ["__id", "f1", "packed"])
 
+    texts = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(bits)).alias("h"), text_col, id_col)
+    schema = T.StructType([T.StructField("__id", docs.schema[id_col].dataType), T.StructField("f1", T.LongType()), T.StructField("packed", T.BinaryType())])
+    # rows that the bitmap let through by chance, or that share an id but not the set, fall out here
+    met = texts.mapInArrow(read, schema).join(wanted, "f1").where(F.col("__id") == F.col("rep"))
+    return met.select("f1", "packed").dropDuplicates(["f1"])
+
+
+def reaches(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets have Jaccard similarity num / den or more."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+def verify(pairs: DataFrame, shingled: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard similarity reaches the threshold."""
+    num, den = bands.num, bands.den
+
     def compare(batches):
-        """Rows come sorted by pair: both sets of a pair follow each other (repeated rows repeat a side)."""
+        """Rows come sorted by pair: both sets of a pair follow each other."""
         pair, left = None, b""
         for batch in batches:
             found = []
             for a, b, second, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not second:
                     pair, left = (a, b), packed
-                elif pair == (a, b):
-                    x, y = np.frombuffer(left, np.uint64), np.frombuffer(packed, np.uint64)
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    both = int((y[at] == x).sum())
-                    if bands.den * both >= bands.num * (len(x) + len(y) - both):
-                        found.append(pair)
-                    pair = None
+                elif pair == (a, b) and reaches(np.frombuffer(left, np.uint64), np.frombuffer(packed, np.uint64), num, den):
+                    found.append(pair)
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    kind = docs.schema[id_col].dataType
-    texts = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(bits)).alias("h"), text_col, id_col)
-    schema = T.StructType([T.StructField("__id", kind), T.StructField("f1", T.LongType()), T.StructField("packed", T.BinaryType())])
     sides = pairs.select(F.col("a").alias("f1"), "a", "b", F.lit(False).alias("second")).union(pairs.select("b", "a", "b", F.lit(True)))
-    sides = sides.join(sets.select("f1", F.col("rep").alias("__id")), "f1")
-    # rows that the bitmap let through by chance, or that share an id but not the set, fall out here
-    met = texts.mapInArrow(read, schema).join(sides, ["f1", "__id"]).select("a", "b", "second", "packed")
-    return met.repartition(shuffle_width(spark), "a", "b").sortWithinPartitions("a", "b", "second").mapInArrow(compare, "a long, b long")
-
-
-def cross_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, bands: Bands, nearest: bool = False) -> DataFrame:
-    """Pairs within groups that join different components and may link; with ``nearest`` only the likeliest of each set.
-
-    Members are dealt into blocks of about BLOCK; every two blocks of a group meet in a
-    task of their own, whatever the group's size.
+    met = sides.join(shingled, "f1").select("a", "b", "second", "packed")
+    return met.repartition(shuffle_width(pairs.sparkSession), "a", "b").sortWithinPartitions("a", "b", "second").mapInArrow(compare, "a long, b long")
+
+
+def spare(na: int, nb: int, x: bytes, y: bytes, bands: Bands) -> int:
+    """How much less two sets differ, at the least, than a link allows; -1 if their sizes forbid one."""
+    if min(na, nb) * bands.den < max(na, nb) * bands.num:
+        return -1
+    if len(x) == len(y):
+        return bands.difference(na, nb) - (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
+    return bands.difference(na, nb) - int(apart(*folded([x, y])))
+
+
+class Labels(dict):
+    """Union-find over the labels that a task meets: what is found linked need not be compared again."""
+
+    def find(self, x: int) -> int:
+        root = x
+        while (up := self.get(root, root)) != root:
+            root = up
+        while (up := self.get(x, x)) != root and x != root:
+            self[x] = root
+            x = up
+        return root
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self[max(a, b)] = min(a, b)
+        return True
+
+
+def hopeful(left: np.ndarray, right: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray, bands: Bands):
+    """Chunk by chunk the pairs (p, q, difference still allowed) of two lists of rows whose labels differ and which may link."""
+    step = max(1, 200_000 // max(1, len(right)))
+    for at in range(0, len(left), step):
+        some = left[at : at + step]
+        p, q = np.nonzero(root[some][:, None] != root[right][None, :])
+        p, q = some[p], right[q]
+        sizes = (np.minimum(n[p], n[q]) * bands.den >= np.maximum(n[p], n[q]) * bands.num)
+        p, q = p[sizes], q[sizes]
+        room = bands.difference(n[p], n[q]) - apart(bits[p], bits[q])
+        yield p[room >= 0], q[room >= 0], room[room >= 0]
+
+
+def block_links(left: np.ndarray, right: np.ndarray, f: list[int], l: list[int], n: np.ndarray, sketches: list[bytes], packed: list[bytes], bands: Bands, labels: Labels) -> list[tuple[int, int]]:
+    """Links between two blocks (lists of rows) of a group, as many as join labels: a spanning forest."""
+    bits, out = folded(sketches), []
+    distinct, local = np.unique(np.array(l, np.int64), return_inverse=True)
+    local = local.ravel()
+
+    def roots() -> np.ndarray:
+        return np.array([labels.find(x) for x in distinct.tolist()], np.int64)[local]
+
+    for p, q, room in hopeful(left, right, roots(), n, bits, bands):
+        order = np.lexsort((-room, p))
+        p, q = p[order], q[order]
+        while len(p):  # every row is held against its likeliest partner that is still apart
+            first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+            for i, j in zip(p[first].tolist(), q[first].tolist(), strict=True):
+                if labels.find(l[i]) != labels.find(l[j]) and reaches(np.frombuffer(packed[i], np.uint64), np.frombuffer(packed[j], np.uint64), bands.num, bands.den):
+                    labels.join(l[i], l[j])
+                    out.append((f[i], f[j]))
+            rest = np.ones(len(p), bool)
+            rest[first] = False
+            root = roots()
+            rest &= root[p] != root[q]
+            p, q = p[rest], q[rest]
+    return out
+
+
+def cross_links(members: DataFrame, labels: DataFrame, sets: DataFrame, shingled: DataFrame, bands: Bands) -> DataFrame:
+    """Links (a, b) within groups (g, f) between sets of different labels: enough of them to join all that links join.
+
+    Members are dealt into blocks, every two of which meet in a task of their own, whatever
+    the group's size.  First sketches alone tell which sets may have a link to another label.
+    Where that leaves few pairs, they are verified once for all groups in which they meet.
+    Where it leaves many, the sets travel with their shingles, are verified where they meet, and a
+    task hands on a link only if it joins labels that nothing before it has joined.  So
+    no pass makes more rows than PAIRS times those it reads.
     """
-    rows = members.select("g", "f").join(labels.select(F.col("node").alias("f"), F.col("component").alias("l")), "f", "left").select("g", "f", F.coalesce("l", "f").alias("l"))
-    open_ = rows.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo <> hi").select("g", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(open_, "g").join(sets.select(F.col("f1").alias("f"), "n", "bits"), "f")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    keyed = rows.select("g", "f", "l", "n", "bits", "block", other.alias("other")).select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "f", "l", "n", "bits")
-
-    def pairs_of(i: int, j: int, block: np.ndarray, f: np.ndarray, l: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> np.ndarray:
-        """(a, b, spare difference) of two blocks of a group."""
-        bits = folded(sketches)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out = [np.empty((3, 0), np.int64)]
-        rows = max(1, 200_000 // max(1, len(right)))
-        for at in range(0, len(left), rows):
-            some = left[at : at + rows]
-            open_pair = l[some][:, None] != l[right][None, :]
-            if i == j and not nearest:
-                open_pair &= f[right][None, :] > f[some][:, None]
-            p, q = np.nonzero(open_pair)
-            p, q = some[p], right[q]
-            spare = (n[p] + n[q]) * (bands.den - bands.num) // (bands.den + bands.num) - apart(bits[p], bits[q])
-            ok = (spare >= 0) & (np.minimum(n[p], n[q]) * bands.den >= np.maximum(n[p], n[q]) * bands.num)
-            a, b = f[p[ok]], f[q[ok]]
-            out.append(np.stack([a, b, spare[ok]] if nearest else [np.minimum(a, b), np.maximum(a, b), spare[ok]]))
-        return np.concatenate(out, 1)
-
-    def once(found: list[np.ndarray]) -> np.ndarray:
-        """Each pair once; with ``nearest`` each set's likeliest."""
-        a, b, spare = np.concatenate(found, 1)
-        order = np.lexsort((b, -spare, a) if nearest else (b, a))
-        a, b, spare = a[order], b[order], spare[order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (False if nearest else b[1:] != b[:-1])] if len(a) else np.empty(0, bool)
-        return np.stack([a[new], b[new], spare[new]])
-
-    def meet(batches):
-        """Rows come sorted by group and blocks; a group's last rows may come with the next batch."""
-        found, size = [np.empty((3, 0), np.int64)], 0
+    width = shuffle_width(members.sparkSession)
+    named = members.select("g", "f").join(labels.select(F.col("node").alias("f"), F.col("component").alias("l")), "f", "left").select("g", "f", F.coalesce("l", "f").alias("l"))
+
+    def dealt(rows: DataFrame, each: DataFrame, by_bytes: bool) -> DataFrame:
+        """Rows of groups with several labels with what is known of ``each`` set (f), once for each two blocks, sorted by them."""
+        size = F.ceil(F.count(F.lit(1)) / BLOCK)
+        if by_bytes:
+            rows = rows.join(sets.select(F.col("f1").alias("f"), "n"), "f")
+            size = F.greatest(size, F.ceil(F.sum("n") * 8 / BLOCK_BYTES))
+        open_ = rows.groupBy("g").agg(size.cast("int").alias("blocks"), F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo <> hi").select("g", "blocks")
+        rows = rows.select("g", "f", "l").join(open_, "g").withColumn("block", F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int"))
+        rows = rows.join(each, "f")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        keyed = rows.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select("g", "i", "j", "block", "f", "l", *(c for c in each.columns if c != "f"))
+        return keyed.repartition(width, "g", "i", "j").sortWithinPartitions("g", "i", "j")
+
+    def groups(batches):
+        """Tables of one group's two blocks; a group's last rows may come with the next batch."""
         rest = None
         for batch in batches:
             t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
@@ -475,40 +537,75 @@ def cross_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, bands: B
             g, i, j = (t.column(c).to_numpy() for c in ("g", "i", "j"))
             starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
             rest = t.slice(int(starts[-1]))
-            found, size = compared(t, starts, i, j, found, size)
-            if size >= 2_000_000:
-                found = [once(found)]
-                size = found[0].shape[1]
-                if size >= 1_000_000:
-                    yield packed(found[0])
-                    found, size = [np.empty((3, 0), np.int64)], 0
+            yield t, starts
         if rest is not None:
-            found, size = compared(rest, np.array([0, rest.num_rows]), rest.column("i").to_numpy(), rest.column("j").to_numpy(), found, size)
-        pairs = once(found)
-        for at in range(0, pairs.shape[1], 50_000):
-            yield packed(pairs[:, at : at + 50_000])
-
-    def packed(pairs: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b", "spare"])
-
-    def compared(t: pa.Table, starts: np.ndarray, i: np.ndarray, j: np.ndarray, found: list[np.ndarray], size: int):
-        """Pairs of all groups between consecutive starts."""
-        block, f, l, n = (t.column(c).to_numpy() for c in ("block", "f", "l", "n"))
-        n, sketches = n.astype(np.int64), t.column("bits").to_pylist()
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            if b - a > 1:
-                found.append(pairs_of(int(i[a]), int(j[a]), block[a:b], f[a:b], l[a:b], n[a:b], sketches[a:b]))
-                size += found[-1].shape[1]
-        return found, size
-
-    met = keyed.repartition(shuffle_width(members.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(meet, "a long, b long, spare long")
-    if nearest:
-        return met.groupBy("a").agg(F.max(F.struct("spare", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
-    return met.select("a", "b").distinct()
+            yield rest, np.array([0, rest.num_rows])
+
+    def columns(t: pa.Table, *more: str):
+        i, j, block, f, l, n = (t.column(c).to_numpy() for c in ("i", "j", "block", "f", "l", "n"))
+        return i, j, block, f, l, n.astype(np.int64), *(t.column(c).to_pylist() for c in ("bits", *more))
+
+    def sides(i: int, j: int, block: np.ndarray):
+        left = np.flatnonzero(block == i)
+        return left, left if i == j else np.flatnonzero(block == j)
+
+    def hopes(batches):
+        """Pairs (a, b) that may link, or of a block with many of them its sets (a) and the group; each once in a task (as far as it remembers)."""
+        told: set[tuple] = set()
+        for t, starts in groups(batches):
+            i, j, block, f, l, n, sketches = columns(t)
+            fresh: set[tuple] = set()
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if b - a < 2:
+                    continue
+                if b - a == 2:  # most groups are pairs
+                    if l[a] != l[a + 1] and spare(int(n[a]), int(n[a + 1]), sketches[a], sketches[a + 1], bands) >= 0:
+                        fresh.add((int(min(f[a], f[a + 1])), int(max(f[a], f[a + 1])), None))
+                    continue
+                own, some, many = f[a:b], [], np.zeros(b - a, bool)
+                found, bits = 0, folded(sketches[a:b])
+                for p, q, _ in hopeful(*sides(int(i[a]), int(j[a]), block[a:b]), l[a:b], n[a:b], bits, bands):
+                    many[p] = many[q] = True
+                    found += len(p)
+                    if found <= 2 * PAIRS * (b - a):  # within a block each pair comes from both sides
+                        some.append(np.stack([np.minimum(own[p], own[q]), np.maximum(own[p], own[q])], 1))
+                if found <= 2 * PAIRS * (b - a):
+                    fresh.update((x, y, None) for z in some for x, y in z.tolist())
+                else:
+                    group = t.column("g")[a].as_py()
+                    fresh.update((x, None, group) for x in own[many].tolist())
+            fresh -= told
+            told = fresh if len(told) > 500_000 else told | fresh
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in fresh], pa.int64()) for k in range(3)], ["a", "b", "g"])
+
+    def link(batches):
+        labels = Labels()
+        for t, starts in groups(batches):
+            i, j, block, f, l, n, sketches, packed = columns(t, "packed")
+            f, l, out = f.tolist(), l.tolist(), []
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if b - a == 2:
+                    if labels.find(l[a]) != labels.find(l[a + 1]) and reaches(np.frombuffer(packed[a], np.uint64), np.frombuffer(packed[a + 1], np.uint64), bands.num, bands.den):
+                        labels.join(l[a], l[a + 1])
+                        out.append((f[a], f[a + 1]))
+                elif b - a > 2:
+                    out += block_links(*sides(int(i[a]), int(j[a]), block[a:b]), f[a:b], l[a:b], n[a:b], sketches[a:b], packed[a:b], bands, labels)
+            if len(labels) > 1_000_000:
+                labels = Labels()
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    known = sets.select(F.col("f1").alias("f"), "n", "bits")
+    hoped = dealt(named, known, False).mapInArrow(hopes, "a long, b long, g long").checkpoint()
+    met = verify(hoped.where("b is not null").select("a", "b").distinct(), shingled, bands)
+    many = hoped.where("g is not null").select("g", F.col("a").alias("f"))
+    if many.isEmpty():
+        return met
+    found = dealt(named.join(many.distinct(), ["g", "f"]), known.join(shingled.select(F.col("f1").alias("f"), "packed"), "f"), True).mapInArrow(link, "a long, b long")
+    return met.union(found)
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """(id, n_shingles, component_id, n_links) for each row of ``docs``.
+    """(id, n_shingles, component_id) for each row of ``docs``.
 
     Two rows link when den * |A and B| >= num * |A or B| for their sets of n-word shingles;
     component_id is the smallest id reachable by links.  Rows with equal sets are one node,
@@ -525,18 +622,22 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     found = collisions(docs, text_col, n, bands, frequent).checkpoint()
     alive = meeting_sets(found)
     members = unpack(found.where("g is not null").select("g", "members").dropDuplicates(["g"])).join(alive, "f").select("g", "f", "met").checkpoint()
-
-    busiest = members.groupBy("g").agg(F.max(F.struct("met", "f")).alias("top"), F.count(F.lit(1)).alias("m")).where("m > 1").select("g", "top")
-    stars = members.join(busiest, "g").where(F.col("f") != F.col("top.f")).groupBy(F.col("top.f").alias("a"), F.col("f").alias("b")).agg(F.max("top.met").alias("met")).checkpoint()
-    likely = may_link(stars, sets, bands).join(stars, ["a", "b"])
-    first = likely.groupBy("b").agg(F.max(F.struct("met", "a")).alias("top")).select(F.col("top.a").alias("a"), "b").checkpoint()
-    linked = verify(first, docs, sets, id_col, text_col, n, bands).checkpoint()
-    # most sets that the busiest one doesn't hold link with their nearest; what is then still apart is compared in full
+    del found, alive
+    release(docs.sparkSession)
+
+    sizes = members.groupBy("g").agg(F.max(F.struct("met", "f")).alias("top"), F.count(F.lit(1)).alias("m")).where("m > 1").checkpoint()
+    stars = members.join(sizes, "g").where(F.col("f") != F.col("top.f")).groupBy(F.col("top.f").alias("a"), F.col("f").alias("b")).agg(F.max("top.met").alias("met")).checkpoint()
+    shingled = read_sets(sets.join(stars.select(F.col("a").alias("f1")).union(stars.select("b")).distinct(), "f1").select("f1", "rep"), docs, id_col, text_col, n).checkpoint()
+    first = may_link(stars, sets, bands).groupBy("b").agg(F.max(F.struct("met", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
+    linked = verify(first, shingled, bands).checkpoint()
+    release(docs.sparkSession)
+    # most sets that the busiest one doesn't hold find a partner in their largest group; what is then still apart is compared in all groups
     held = linked.select(F.col("b").alias("node"), F.col("a").alias("component"))  # every set has one busiest partner at most
-    near = cross_pairs(members, held, sets, bands, nearest=True).checkpoint()
-    linked = linked.union(verify(near, docs, sets, id_col, text_col, n, bands)).checkpoint()
-    more = cross_pairs(members, components(linked), sets, bands).checkpoint()
-    linked = linked.union(verify(more, docs, sets, id_col, text_col, n, bands)).checkpoint()
+    largest = members.join(sizes.select("g", "m"), "g").groupBy("f").agg(F.max(F.struct("m", "g")).alias("top")).select(F.col("top.g").alias("g"), "f")
+    linked = linked.union(cross_links(largest, held, sets, shingled, bands)).checkpoint()
+    release(docs.sparkSession)
+    linked = linked.union(cross_links(members, components(linked).checkpoint(), sets, shingled, bands)).checkpoint()
+    release(docs.sparkSession)
 
     nodes = components(linked)
     named = of_docs.join(nodes.withColumnRenamed("node", "f1"), "f1", "left").select("__id", "n", F.coalesce("component", "f1").alias("c"))
