@@ -25,4 +25,4 @@ from .tidyselect import all_of, any_of, contains, ends_with, everything, last_co
 from .types import is_character, is_double, is_integer, is_logical, is_numeric
 
 __version__ = "0.1.0"
-__all__ = [name for name in dir() if not name.startswith("_") and name not in ("errors", "expr", "functions", "operators", "plans", "sources", "streaming", "table_", "tidyselect", "types", "llm")]
+__all__ = [name for name in dir() if not name.startswith("_") and name not in ("errors", "expr", "functions", "operators", "plans", "sources", "streaming", "table_", "tidyselect", "types")]
