@@ -1,6 +1,10 @@
 """op 6 against brute force."""
 
 import collections
+import random
+
+import numpy as np
+import pytest
 
 from verbflow.llm import suffix_dedup
 
@@ -27,14 +31,51 @@ def rows_of(prose):
     return rows
 
 
-def test_equals_brute_force(documents, prose):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2])
+def test_equals_brute_force(documents, prose, hot):
+    """Grams dealt as suffixes, and all that occur more than twice as single passages."""
     rows = rows_of(prose)
     got = collections.defaultdict(set)
-    for r in suffix_dedup.repeated_spans(documents(*rows)).collect():
+    for r in suffix_dedup.repeated_spans(documents(*rows), hot=hot).collect():
         got[(r.doc_id, r.first)].update(range(r.start_word, r.start_word + r.n_words))
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2])
+def test_short_passages_and_colliding_grams(documents, monkeypatch, hot):
+    """Few different words and eight hashes for all grams: words decide, not hashes."""
+    real = suffix_dedup.gram_hashes
+    monkeypatch.setattr(suffix_dedup, "gram_hashes", lambda words, n: real(words, n) if n > 4 else real(words, n) >> np.uint64(61) << np.uint64(61))
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choice("abc") for _ in range(rng.randrange(5, 60)))) for k in range(40)]
+    got = collections.defaultdict(set)
+    for r in suffix_dedup.repeated_spans(documents(*rows), words=8, gram=4, hot=hot).collect():
+        got[(r.doc_id, r.first)].update(range(r.start_word, r.start_word + r.n_words))
+    assert got == brute(rows, 8)
+
+
+def test_anchors_depend_on_the_passage_alone():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        grams = rng.integers(0, 6, rng.integers(1, 60)).astype(np.uint64)
+        at, first, last = suffix_dedup.anchors(grams, 7)
+        of = {s: a for a, f, e in zip(at.tolist(), first.tolist(), last.tolist(), strict=True) for s in range(f, e + 1)}
+        for s in range(len(grams) - 6):
+            run = grams[s : s + 7]
+            assert of[s] == s + int(np.flatnonzero(run == run.min())[-1])
+        assert len(of) == max(0, len(grams) - 6)
+
+
+def test_rows_that_share_an_id(documents, prose):
+    """Texts of one id are neither mixed nor lost, and clashing columns take no part."""
+    t, other = prose(80, 1), prose(90, 2)
+    rows = [(1, t), (1, f"{other} x"), (2, f"{prose(20, 3)} {t}"), (3, other), (1, t)]
+    out = sorted((r.doc_id, r.text) for r in suffix_dedup.remove_repeats(documents(*rows)).collect())
+    assert out == sorted([(1, t), (1, f"{other} x"), (2, f"{prose(20, 3)} "), (3, ""), (1, t)])
+    df = documents(*rows).selectExpr("doc_id", "text", "1 as mark", "2 as id", "3 as bucket", "4 as first")
+    assert suffix_dedup.repeated_spans(df).count() == 4
+
+
 def test_removal_keeps_first_places(documents, prose):
     rows = rows_of(prose)
     spans = brute(rows)

@@ -511,7 +511,7 @@ def cross_links(members: DataFrame, labels: DataFrame, sets: DataFrame, shingled
     task hands on a link only if it joins labels that nothing before it has joined.  So
     no pass makes more rows than PAIRS times those it reads.
     """
-    width = shuffle_width(members.sparkSession)
+    width, most = shuffle_width(members.sparkSession), 2 * PAIRS  # within a block each pair comes from both sides
     named = members.select("g", "f").join(labels.select(F.col("node").alias("f"), F.col("component").alias("l")), "f", "left").select("g", "f", F.coalesce("l", "f").alias("l"))
 
     def dealt(rows: DataFrame, each: DataFrame, by_bytes: bool) -> DataFrame:
@@ -567,9 +567,9 @@ def cross_links(members: DataFrame, labels: DataFrame, sets: DataFrame, shingled
                 for p, q, _ in hopeful(*sides(int(i[a]), int(j[a]), block[a:b]), l[a:b], n[a:b], bits, bands):
                     many[p] = many[q] = True
                     found += len(p)
-                    if found <= 2 * PAIRS * (b - a):  # within a block each pair comes from both sides
+                    if found <= most * (b - a):
                         some.append(np.stack([np.minimum(own[p], own[q]), np.maximum(own[p], own[q])], 1))
-                if found <= 2 * PAIRS * (b - a):
+                if found <= most * (b - a):
                     fresh.update((x, y, None) for z in some for x, y in z.tolist())
                 else:
                     group = t.column("g")[a].as_py()

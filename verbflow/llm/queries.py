@@ -127,7 +127,26 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of 50 words or more that repeat within the corpus; ``first`` marks the place that is kept."""
-    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"), words=50)
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"), words=50).select("doc_id", "first", "start_word", "n_words")
+
+
+OP6_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), places AS (
+  SELECT doc_id, s, array_to_string(w[s + 1 : s + 50], ' ') AS passage
+  FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS s FROM words WHERE len(w) >= 50)
+), judged AS (
+  SELECT doc_id, s, count(*) OVER (PARTITION BY passage) AS n, row_number() OVER (PARTITION BY passage ORDER BY doc_id, s) = 1 AS first FROM places
+), marked AS (
+  SELECT doc_id, first, s, coalesce(s - lag(s) OVER (PARTITION BY doc_id, first ORDER BY s) > 50, true) AS begins FROM judged WHERE n > 1
+), numbered AS (
+  SELECT doc_id, first, s, sum(CAST(begins AS INTEGER)) OVER (PARTITION BY doc_id, first ORDER BY s) AS part FROM marked
+)
+SELECT doc_id, first, CAST(min(s) AS INTEGER) AS start_word, CAST(max(s) + 50 - min(s) AS INTEGER) AS n_words
+FROM numbered GROUP BY doc_id, first, part
+"""
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,4 +172,5 @@ ORACLE: dict[str, str] = {
     "op1_ngram_jaccard": OP1_SQL,
     "op3_embedding_dedup": OP3_SQL,
     "op5_topk_search": OP5_SQL,
+    "op6_suffix_dedup": OP6_SQL,
 }
