@@ -119,10 +119,10 @@ def test_lm_tables_and_stream_grow_with_the_training_words(spark, monkeypatch):
     assert lm_score.doublings(10) == 0 and lm_score.doublings(3 << 19) == 2 and lm_score.doubled(int(lm_score.BASE[-1]) << 3) == 3
     words = [b"%d" % i for i in range(3000)]
     h = lm_score.contexts(words)
-    taken = [len(np.unique(lm_score.all_slots(h[2], h[0], 7, 0, extra)[4])) for extra in (0, 3)]
+    taken = [len(np.unique(lm_score.all_lines(h[2], h[0], 0, extra)[1, 4])) for extra in (0, 3)]
     assert taken[0] < taken[1]
-    monkeypatch.setattr(lm_score, "SLOTS", (6, 6, 6, 6, 6, 6))
-    monkeypatch.setattr(lm_score, "BASE", np.arange(7) * 64)
+    monkeypatch.setattr(lm_score, "SLOTS", (8, 8, 8, 8, 8, 8))
+    monkeypatch.setattr(lm_score, "BASE", np.arange(7) * 256)
     monkeypatch.setattr(lm_score, "TOKENS_PER_STEP", 2)
     streams, sizes, least = [], [], []
     real, of = lm_score.Mixer.merge, lm_score.Mixer.of
@@ -141,13 +141,59 @@ def test_lm_tables_and_stream_grow_with_the_training_words(spark, monkeypatch):
 
 
 def test_lm_probabilities_add_up():
-    """Over all continuations of a prefix the bits' probabilities sum to one."""
+    """Over all first bytes, and over all next bytes of a prefix, probabilities sum to one."""
     tables = np.zeros((2, lm_score.BASE[-1]), np.float32)
     lm_score.count_bits([b"kalo", b"kami", b"ta"], np.array([[3], [1], [2]]), tables)
     mixer = lm_score.Mixer.of(tables, 1)
-    first = np.array([10 ** mixer.log10_words([bytes([b])], [0])[0, 0] for b in range(256) if b != 32])
-    longer = mixer.log10_words([b"k", b"ka", b"kal"], [0])[:, 0]
-    assert first.sum() < 1 + 1e-3 and np.all(longer < 0)
+    first = mixer.log10_words([bytes([b]) for b in range(256)], [0], first=True)[:, 0]
+    assert abs((10.0**first).sum() - 1) < 1e-3
+    counts = np.random.default_rng(1).integers(0, 3, (lm_score.ROWS + 1) * 256)
+    assert np.allclose(np.exp(lm_score.after_word(counts)).sum(1), 1)
+
+
+def test_lm_reads_in_order():
+    """A text's probability is that of its words one after the other, by a plain loop."""
+    rng = np.random.default_rng(2)
+    vocabulary, k = 12, 3
+    ways = np.log(rng.dirichlet(np.ones(vocabulary), k).T)
+    entry, first, row = np.log(rng.dirichlet(np.ones(k))), rng.integers(0, 4, vocabulary), rng.integers(0, 5, vocabulary)
+    first_of_way = np.log(np.stack([np.bincount(first, np.exp(ways[:, j]), 256) + 1e-300 for j in range(k)], 1))
+    follows = np.log(rng.dirichlet(np.ones(256), lm_score.ROWS + 1))
+    odds = rng.uniform(0.1, 0.9, lm_score.REPEAT_GATES * lm_score.BINS)
+    texts = [rng.integers(0, vocabulary, n) for n in (1, 40, 7, 90)]
+    word, starts = np.concatenate(texts), np.cumsum([0, 1, 40, 7])
+    doc = np.repeat(np.arange(4), [1, 40, 7, 90])
+    code = lm_score.repeats(word, doc)
+    got = lm_score.read_in_order(word, starts, ways, entry, first_of_way, first, row, follows, code, odds)
+    at = 0
+    for t, total in zip(texts, got, strict=True):
+        weight, log_p, met = np.exp(np.r_[entry, entry]) / 2, 0.0, {}
+        before, pair = lm_score.ROWS, (None, None)
+        for i, w in enumerate(t.tolist()):
+            own = np.exp(ways[w])
+            primed = own * np.exp(follows[before, first[w]]) / np.exp(first_of_way[first[w]])
+            each = np.r_[own, primed]
+            p = (weight * each).sum() / weight.sum()
+            weight = weight * each
+            guess = met.get(pair, met.get(pair[1:]))
+            assert (guess is None) == (code[at] == 0)
+            if guess is not None:
+                q = odds[(int(code[at]) - 1) // 2]
+                assert (code[at] - 1) % 2 == (guess == w)
+                p = q * (guess == w) + (1 - q) * p
+            log_p += np.log(p)
+            met[pair] = met[pair[1:]] = w
+            before, pair, at = row[w], (pair[1], w), at + 1
+        assert abs(total - log_p) < 1e-6 * abs(log_p) + 1e-9
+
+
+def test_lm_order_and_odd_words(spark, prose):
+    """Another order of the same words has another score; a NUL byte is a word like any other."""
+    rows = [(i, " ".join(["alpha beta gamma delta"] * 5)) for i in range(30)] + [(100, "alpha beta gamma delta"), (101, "delta gamma beta alpha"), (102, "a \0 b"), (103, "alpha beta alpha beta alpha beta"), (104, "alpha beta beta alpha alpha beta")]
+    df = spark.createDataFrame([(i, t, i < 30, "k") for i, t in rows], "doc_id bigint, text string, learn boolean, lang string")
+    got = {r.doc_id: r for r in lm_score.score_texts(df, learn_col="learn").collect()}
+    assert got[100].score > got[101].score and got[103].score > got[104].score
+    assert abs(got[102].base_score - (3 * np.log10(1 / (630 + 6)) + np.log10(31 / (630 + 6)))) < 1e-9
 
 
 def test_lm_score_empty_and_untrained(spark):
