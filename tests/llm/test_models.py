@@ -219,6 +219,35 @@ def test_blocks():
     assert [b.text for b in html_extract.blocks_of("plain < text")] == ["plain < text"]
 
 
+def test_blocks_of_pages_that_leave_tags_out():
+    text = lambda page: [b.text for b in html_extract.blocks_of(page)]
+    assert text("<html><head><title>T</title><body><article><p>Hello world.</p></article></body></html>") == ["Hello world."]
+    assert text("<head><title>T</title><meta charset=utf-8><p>No body tag.") == ["No body tag."]
+    assert text('<p>One</p><script src="x" />var a = 1;</script><p>Two</p>') == ["One", "Two"]
+    assert text("<p>One</p><select><option>A<p>Two</p>") == ["One", "A", "Two"]
+    assert text("<p>One</p><svg width=1 /><p>Two</p><svg><text>no</text></svg><noscript>no</noscript>") == ["One", "Two"]
+
+
+def test_lstm_gradient():
+    """Backpropagation through time against finite differences."""
+    rng = np.random.default_rng(3)
+    way = html_extract.Lstm(*(rng.normal(0, 0.5, s) for s in ((3, 8), (2, 8), 8)))
+    x, mask, want = rng.normal(0, 1, (5, 2, 3)), np.ones((5, 2)), rng.normal(0, 1, (5, 2, 2))
+    mask[3:, 1] = 0
+    loss = lambda: float((way.forward(x, mask) * want).sum())
+    keep: list = []
+    way.forward(x, mask, keep)
+    grads, d_x = way.backward(x, want, keep)
+    for array, grad in zip((way.W, way.U, way.b, x), (*grads, d_x), strict=True):
+        for at in rng.integers(0, array.size, 6).tolist():
+            old = array.flat[at]
+            array.flat[at] = old + 1e-2
+            up = loss()
+            array.flat[at] = old - 1e-2
+            down, array.flat[at] = loss(), old
+            assert abs((up - down) / 2e-2 - grad.flat[at]) < 2e-2 * max(1, abs(grad.flat[at]))
+
+
 def test_extract(spark, prose):
     pages = [(i, "u", PAGE if i == 0 else f"<html><body><nav><a>{prose(3, i)}</a></nav><article><p>{prose(30, i)}.</p></article></body></html>") for i in range(40)]
     df = spark.createDataFrame([*pages, (50, "u", None), (51, "u", "")], "page_id bigint, text string, html string")

@@ -32,6 +32,16 @@ def test_stages(spark, tmp_path, prose):
     assert rerun.count() == len(seen["packing"])
 
 
+def test_near_duplicates_of_shared_ids(spark, prose):
+    """Different texts of one id are documents of their own; of equal rows and of near copies one stays."""
+    a, b, c = prose(60, 1), prose(60, 2), prose(60, 3)
+    rows = [(1, a), (1, b), (2, a + " end"), (None, b + " end"), (None, c), (3, b), (3, b), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "xx", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.text or "") for r in out.collect())) == sorted([(1, a), (1, b), (0, c), (4, ""), (5, "")])
+
+
 def test_one_query_for_each_operator():
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
     assert set(queries.ORACLE) <= set(queries.QUERIES)

@@ -94,5 +94,35 @@ def test_bin_completion_beats_best_fit():
     assert better > 5
 
 
+def fewest(lengths, capacity):
+    """The least number of sequences, by trying every place for every piece."""
+    best = len(lengths)
+
+    def put(at, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if at == len(lengths):
+            best = len(room)
+            return
+        for i, left in enumerate(room):
+            if left >= lengths[at] and left not in room[:i]:
+                put(at + 1, [*room[:i], left - lengths[at], *room[i + 1 :]])
+        put(at + 1, [*room, capacity - lengths[at]])
+
+    put(0, [])
+    return best
+
+
+def test_bin_completion_is_optimal_on_small_cases():
+    rng = random.Random(9)
+    cases = [([5, 8, 8, 7, 9, 10, 8, 10, 4, 5], 19)] + [([rng.randint(1, c) for _ in range(rng.randint(1, 9))], c) for c in rng.choices(range(8, 40), k=400)]
+    for lengths, capacity in cases:
+        lengths.sort(reverse=True)
+        plan = packing.bin_completion(collections.Counter(lengths), capacity)
+        assert sorted((n for p, k in plan for n in p * k), reverse=True) == lengths and all(sum(p) <= capacity for p, _ in plan)
+        assert packing.lower_bound(collections.Counter(lengths), capacity) <= sum(k for _, k in plan) == fewest(lengths, capacity), (lengths, capacity)
+
+
 def test_pack_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, text string"), BYTES).collect() == []

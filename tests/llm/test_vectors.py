@@ -76,3 +76,19 @@ def test_search_prunes_nothing_it_needs():
         best = sorted((k for k in range(2000) if k != 100 * i), key=lambda k: (-score[k], ids[k]))[:5]
         mine = [(int(b), int(c)) for a, b, c in zip(*got, strict=True) if a == i]
         assert sorted(b for b, _ in mine) == sorted(best)
+
+
+def test_vectors_of_several_lengths_are_refused(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [1.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="one length"):
+        embedding_dedup.near_duplicates(df).collect()
+    with pytest.raises(Exception, match="one length"):
+        topk.top_inner_products(df, df).collect()
+
+
+def test_huge_and_tiny_components_and_shared_ids(spark):
+    """Squares that over- or underflow don't matter; rows that share an id are vectors of their own."""
+    rows = [(1, [1e200, 1.01e200]), (2, [1e200, 1e200]), (3, [1e-200, 1e-200]), (4, [-1.0, 1.0]), (4, [5.0, 5.1])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 0, 4, True), (4, 3, 1, False)]

@@ -30,6 +30,7 @@ BLOCK = 4096
 
 def unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
+    x = x / np.abs(x).max(1)[:, None]  # squares of very large or small components would overflow or vanish
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -93,7 +94,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     ``kept`` tells the rows that bear it.  Vectors that are null, empty, zero or hold null
     or non-finite components link with nothing.  Rows with a null id link as others do, but
     their component is named by the smallest id that is not null.  Vectors must be of
-    one length.
+    one length; others raise ValueError.  Rows that share an id are vectors of their own.
     """
     spark = vectors.sparkSession
     ensure_checkpoint_dir(spark)

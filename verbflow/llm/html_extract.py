@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from .common import hash_sample, with_fields
 
-#: Comments, elements whose content is no text, and single tags.
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|head|iframe|textarea|select)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|$))|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+#: Comments, elements whose content is no text (of the second kind only if they are closed), and single tags.
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|iframe|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<svg\b[^>]*/>|<(noscript|template|svg|select)\b[^>]*>.*?</\2\s*>|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 NAMES = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[a-z]+")
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -48,7 +48,7 @@ def blocks_of(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    links, link_depth = 0, 0
+    links, link_depth, in_head = 0, 0, False
 
     def flush() -> None:
         nonlocal links
@@ -70,21 +70,23 @@ def blocks_of(page: str | None) -> list[Block]:
 
     last = 0
     for m in TOKEN.finditer(page):
-        if m.start() > last:
+        if m.start() > last and not in_head:
             piece = page[last : m.start()]
             parts.append(piece)
             if link_depth > 0:
                 links += len(piece)
         last = m.end()
-        tag = m.group(3)
+        tag = m.group(4)
         if tag is None:
             continue
         tag = tag.lower()
+        if tag == "head" or in_head and tag in BLOCK and tag != "title":
+            in_head = tag == "head" and not m.group(3)  # its end may be left out
         if tag in BLOCK:
             flush()
         elif tag == "br":
             parts.append(" ")
-        if m.group(2):
+        if m.group(3):
             close(tag)
             continue
         if tag in VOID:
@@ -94,14 +96,14 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and any(t == tag for t, _ in stack[-2:]):
             close(tag)
         names: tuple[str, ...] = ()
-        if m.group(4) and "=" in m.group(4):
-            names = tuple(w for a, b, c in NAMES.findall(m.group(4)) for w in PART.findall((a or b or c).lower()))[:8]
+        if m.group(5) and "=" in m.group(5):
+            names = tuple(w for a, b, c in NAMES.findall(m.group(5)) for w in PART.findall((a or b or c).lower()))
         if tag == "a":
             link_depth += 1
         stack.append((tag, names))
         if len(stack) > 200:
             close(stack[1][0])
-    if last < len(page):
+    if last < len(page) and not in_head:
         parts.append(page[last:])
     flush()
     return out
@@ -132,7 +134,7 @@ def features(pages: list[list[Block]], path_hash: Hashes, word_hash: Hashes, sha
             mine = seen.get(b.path)
             if mine is None:
                 mine = seen[b.path] = path_of[-1] + 1 if path_of else 0
-                ids = [path_hash[w] for w in b.path[-14:]] + [path_hash["last:" + w] for w in b.path[-3:]] or [path_hash[""]]
+                ids = [path_hash[w] for w in b.path] + [path_hash["last:" + w] for w in b.path[-3:]] or [path_hash[""]]
                 paths += ids
                 path_of += [mine] * len(ids)
             which.append(mine)
@@ -366,14 +368,17 @@ def made_pages(sentences: list[str], count: int, seed: int = 31) -> tuple[list[l
     return pages, labels
 
 
-def fit_labeller(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", sample_rows: int = 200, layouts: int = 700) -> BlockLabeller:
-    """Train on layouts filled with text from about ``sample_rows`` pages, picked by a hash of the id."""
-    rows = hash_sample(pages.where(F.col(html_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(html_col).alias("h")), "__id", pages.count(), sample_rows).orderBy("__id", "h").limit(2 * sample_rows).collect()
+def fit_labeller(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", sample_rows: int = 200, sentences: int = 20_000, sentence_words: int = 40, layouts: int = 700) -> BlockLabeller:
+    """Train on layouts filled with text from ``sample_rows`` pages at most, picked by a hash of the id.
+
+    Of their sentences ``sentences`` at most are used, with ``sentence_words`` words at most each: they fill
+    training pages only.  Null pages are left out; an empty table gives layouts filled with one word.
+    """
+    rows = hash_sample(pages.where(F.col(html_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(html_col).alias("h")), "__id", pages.count(), sample_rows).orderBy("__id", "h").collect()
     texts = [b.text for r in rows for b in blocks_of(r.h)]
-    sentences = sorted({s.strip() for t in texts for s in re.split(r"(?<=[.!?])\s", t) if s.strip()})[:20_000] or ["text"]
-    sentences = [" ".join(s.split()[:40]) for s in sentences]
+    filling = sorted({s.strip() for t in texts for s in re.split(r"(?<=[.!?])\s", t) if s.strip()})[:sentences] or ["text"]
     model = BlockLabeller()
-    model.learn(*made_pages(sentences, layouts))
+    model.learn(*made_pages([" ".join(s.split()[:sentence_words]) for s in filling], layouts))
     return model
 
 
@@ -381,7 +386,8 @@ def extract(pages: DataFrame, model: BlockLabeller, *, html_col: str = "html", t
     """All columns of ``pages`` with ``text`` and ``n_chars``.
 
     The blocks labelled as article, joined by a line feed; empty if there are none or the
-    page is null.  Columns of ``pages`` named text or n_chars are replaced.
+    page is null.  Columns of ``pages`` named text or n_chars are replaced.  Repeated rows and rows that share
+    an id are extracted each; very long pages are read whole.
     """
     pages = pages.drop("text", "n_chars")
     names = pages.columns

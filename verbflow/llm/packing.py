@@ -44,9 +44,21 @@ Pattern = tuple[int, ...]
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """Sequences that any plan needs: by volume, and by pieces of which no two fit together."""
-    volume = -(-sum(n * c for n, c in counts.items()) // capacity)
-    return max(volume, sum(c for n, c in counts.items() if 2 * n > capacity))
+    """Sequences that any plan needs: by volume, and by what pieces over half a sequence leave to smaller ones.
+
+    For every least size k: pieces over capacity - k stand alone, other large ones have room for what is
+    left of theirs, and pieces from k to half a sequence must find room beside these or in sequences of their own.
+    """
+    number = np.zeros(capacity + 2, np.int64)
+    for n, c in counts.items():
+        number[n + 1] = c
+    upto = np.cumsum(number)  # upto[n + 1]: pieces of n tokens at most
+    volume = np.cumsum(number * np.arange(-1, capacity + 1))
+    half, k = capacity // 2, np.arange(capacity // 2 + 1)
+    large = upto[capacity - k + 1] - upto[half + 1]
+    room = capacity * large - (volume[capacity - k + 1] - volume[half + 1])
+    small = volume[half + 1] - volume[k]
+    return int((upto[-1] - upto[half + 1] + np.maximum(0, -(-(small - room) // capacity))).max())
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
@@ -72,12 +84,12 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     return [(tuple(p), n) for groups in open_.values() for p, n in groups if n]
 
 
-def fillings(counts: dict[int, int], room: int, allowed: int, limit: int = 12, effort: int = 3000) -> list[Pattern]:
+def fillings(counts: dict[int, int], room: int, allowed: int, limit: int = 64, effort: int = 3000) -> list[Pattern]:
     """Undominated ways to fill ``room``, least waste first, wasting ``allowed`` at most.
 
     A single piece that fits exactly dominates all others.  A way is dominated if a piece
     left out could still be added, or could take the place of a smaller one.  ``limit`` and
-    ``effort`` bound the search, not what is packed.
+    ``effort`` bound the search, not what is packed.  Larger pieces are tried first.
     """
     if room in counts:
         return [(room,)]
@@ -95,9 +107,9 @@ def fillings(counts: dict[int, int], room: int, allowed: int, limit: int = 12, e
     def walk(at: int, left: int, way: list[int]) -> None:
         nonlocal steps
         steps += 1
-        if steps > effort or found and found[0][0] == 0 and len(found) >= limit:
+        if steps > effort or len(found) == limit and not found[-1][0]:
             return
-        if left <= allowed and undominated(way, left):
+        if left <= allowed and (left, tuple(way)) not in found and undominated(way, left):
             found.append((left, tuple(way)))
             found.sort(key=lambda x: (x[0], len(x[1])))
             del found[limit:]
@@ -108,20 +120,22 @@ def fillings(counts: dict[int, int], room: int, allowed: int, limit: int = 12, e
                 if steps > effort:
                     return
 
-    # a second piece that fits exactly beside a first is found without a walk
+    # second pieces that fit exactly beside a first are found without a walk; a full list of them can't be bettered
     for n in lengths:
         rest = room - n
-        if rest in counts and rest <= n and (rest != n or counts[n] > 1):
+        if len(found) < limit and rest in counts and rest <= n and (rest != n or counts[n] > 1):
             found.append((0, (n, rest)))
-            if len(found) >= limit // 2:
-                break
-    if not found:
+    if len(found) < limit:
         walk(0, room, [])
     return [w for _, w in found] or ([()] if not lengths else [])
 
 
 def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 4000) -> list[tuple[Pattern, int]]:
-    """Plan [(lengths that share a sequence, how often)]; ``nodes`` bounds the search for a better one."""
+    """Plan [(lengths that share a sequence, how often)].
+
+    A branch takes a filling as often as it goes or once; it ends where the bound of what is left
+    leaves nothing to gain.  ``nodes`` bounds the search for a better plan, not what is packed.
+    """
     counts = {n: c for n, c in counts.items() if c > 0}
     if not counts:
         return []
@@ -134,7 +148,7 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 4000) ->
         rest, plan, waste = stack.pop()
         nodes -= 1
         allowed = (size - 1) * capacity - volume - waste  # a better plan wastes this much at most
-        if allowed < 0:
+        if allowed < 0 or rest and sum(n for _, n in plan) + lower_bound(rest, capacity) >= size:
             continue
         if not rest:
             best, size = plan, sum(n for _, n in plan)
@@ -156,10 +170,9 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 4000) ->
             times = min(rest[n] // k for n, k in need.items())
             if lost:
                 times = min(times, allowed // lost)
-            if times < 1:
-                continue
-            after = {n: c - need.get(n, 0) * times for n, c in rest.items()}
-            stack.append(({n: c for n, c in after.items() if c}, [*plan, (pattern, times)], waste + lost * times))
+            for many in sorted({min(1, times), times} - {0}):  # as often as it goes first, then once
+                after = {n: c - need.get(n, 0) * many for n, c in rest.items()}
+                stack.append(({n: c for n, c in after.items() if c}, [*plan, (pattern, many)], waste + lost * many))
     return best
 
 

@@ -85,7 +85,11 @@ WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS x FROM embeddings
   WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda e: e IS NULL OR NOT isfinite(e)), true)
 ), unit AS (
-  SELECT vec_id, x, sqrt(array_inner_product(x, x)) AS norm FROM v WHERE array_inner_product(x, x) > 0
+  SELECT vec_id, x, sqrt(array_inner_product(x, x)) AS norm FROM (
+    SELECT vec_id, CAST(list_transform(x, lambda e: e / largest) AS DOUBLE[64]) AS x FROM (
+      SELECT vec_id, CAST(x AS DOUBLE[]) AS x, list_max(list_transform(CAST(x AS DOUBLE[]), lambda e: abs(e))) AS largest FROM v
+    ) WHERE largest > 0
+  )
 ), links AS (
   SELECT p.vec_id AS a, q.vec_id AS b FROM unit p JOIN unit q ON p.vec_id <> q.vec_id
   WHERE array_inner_product(p.x, q.x) / (p.norm * q.norm) >= 0.9

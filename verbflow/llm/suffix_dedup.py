@@ -68,7 +68,7 @@ def contexts(h: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray,
     short = np.zeros(len(h) + side + words, np.uint32)
     short[side : side + len(h)] = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     column = np.arange(side + words)
-    out = short[at[:, None] + column]
+    out = np.lib.stride_tricks.sliding_window_view(short, side + words)[at]
     out[(column < (side - at + first)[:, None]) | (column >= (side - at + last + words)[:, None])] = 0
     return out
 
@@ -223,7 +223,9 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             if cold:
                 doc, at, key, context = (np.concatenate(z) for z in zip(*cold, strict=True))
                 rank = known.rank[doc]
-                name = mix64((context.astype(np.uint64) * mix64(np.arange(1, side + words + 1, dtype=np.uint64))).sum(1, dtype=np.uint64))
+                name = np.zeros(len(context), np.uint64)
+                for k, factor in enumerate(mix64(np.arange(1, side + words + 1, dtype=np.uint64))):
+                    name += context[:, k] * factor
                 order = np.lexsort((at, rank, name))
                 rank, at, key, context, name = rank[order], at[order], key[order], context[order], name[order]
                 new = np.r_[True, (name[1:] != name[:-1]) | (context[1:] != context[:-1]).any(1)]

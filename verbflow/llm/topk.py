@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,7 +50,10 @@ def rotation(vectors: DataFrame, column: str) -> np.ndarray:
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """A list column without nulls as a matrix."""
+    """A list column without nulls as a matrix; its lists must be of one length."""
+    sizes = column.value_lengths()
+    if len(column) and pc.min(sizes).as_py() != pc.max(sizes).as_py():
+        raise ValueError("vectors must be of one length")
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
@@ -109,7 +113,7 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, *, id_col: str =
     Components become floor(scale * x).  A query is not its own candidate; ties go to the
     smaller id; fewer than k candidates give fewer rows.  Rows whose vector is null, empty or
     holds null or non-finite components take no part, nor do rows without an id; vectors
-    must be of one length.  Blocks of queries meet blocks of vectors in tasks of their own,
+    must be of one length (others raise ValueError).  Blocks of queries meet blocks of vectors in tasks of their own,
     and each task hands on k rows per query, so neither side is broadcast or collected.
     Rows that share an id are candidates each, and an id that occurs several times as a
     query is searched once.
