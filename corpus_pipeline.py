@@ -34,13 +34,18 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id, once.
+    """One row of each group of near duplicates: the one with the smallest id, once.
 
-    Rows without an id can't be told apart and stay.
+    Rows are told apart by id and a hash of all their columns, so different texts that share
+    an id are documents of their own, and rows that are equal throughout are one.  Rows without an id
+    come after all others.
     """
-    found = ngram_join.jaccard_components(docs, n=5, num=75, den=100)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(docs.columns)
+    names, kind = docs.columns, docs.schema["doc_id"].dataType
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast(kind)).alias("id"), F.xxhash64(*names).alias("row"))
+    keyed = docs.withColumn("__key", key)
+    found = ngram_join.jaccard_components(keyed, id_col="__key", n=5, num=75, den=100)
+    kept = found.where("__key = component_id").select("__key").distinct()
+    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(names)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
