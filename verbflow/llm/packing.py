@@ -84,7 +84,7 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     return [(tuple(p), n) for groups in open_.values() for p, n in groups if n]
 
 
-def fillings(counts: dict[int, int], room: int, allowed: int, limit: int = 64, effort: int = 3000) -> list[Pattern]:
+def fillings(counts: dict[int, int], room: int, allowed: int, limit: int = 16, effort: int = 3000) -> list[Pattern]:
     """Undominated ways to fill ``room``, least waste first, wasting ``allowed`` at most.
 
     A single piece that fits exactly dominates all others.  A way is dominated if a piece
