@@ -13,6 +13,7 @@ import decimal
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,6 +97,8 @@ class Mask:
         self.mode = mode
         self.earlier: dict[str, tuple[Expr, dict]] = {}
         self.made: list[str] = []
+        #: a frame, its ungrouped aggregates so far, and the frame with them
+        self.ungrouped: tuple = (None, [], None)
 
     # the frame and its windows
     @property
@@ -135,10 +138,29 @@ class Mask:
         if self.groups:
             return col.over(self.whole())
         name = hidden()
-        self.table = self.table.but(self.df.crossJoin(F.broadcast(self.df.agg(col.alias(name)))))
+        self.table = self.table.but(self._beside(col.alias(name)))
         self.made.append(name)
         return c(name)
 
+    def _beside(self, col: Column):
+        """The rows with an ungrouped aggregate; those of one frame are one aggregate, read once.
+
+        A value that rests on an earlier one has to wait for it, which analysis tells.
+        """
+        base, cols, made = self.ungrouped
+        if made is self.df:
+            try:
+                row = base.agg(*cols, col)
+            except AnalysisException:
+                pass
+            else:
+                made = base.crossJoin(F.broadcast(row))
+                self.ungrouped = base, [*cols, col], made
+                return made
+        base = self.df
+        self.ungrouped = base, [col], base.crossJoin(F.broadcast(base.agg(col)))
+        return self.ungrouped[2]
+
     def summarised(self, label: str, col: Column, dtype: T.DataType, size: str = "one") -> Val:
         return Val(col, dtype, AGGREGATE if self.mode == "agg" else WINDOW if self.groups else ROW, label, size)
 
