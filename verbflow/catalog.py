@@ -4,22 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .expr import f
+from .expr import NA, Call, f
 from .functions.conditional import across, between, case_match, case_when, coalesce, if_all, if_any, if_else, is_in, is_na, na_if, near, pick
 from .functions.math import abs, as_character, as_double, as_integer, as_logical, ceiling, exp, floor, log, log2, log10, pmax, pmin, round, sqrt
 from .functions.summary import IQR, all, any, first, last, mad, max, mean, median, min, n, n_distinct, nth, quantile, sd, sum, var
 from .functions.window import consecutive_id, cumall, cumany, cume_dist, cummax, cummean, cummin, cumsum, dense_rank, desc, lag, lead, min_rank, ntile, percent_rank, row_number
 from .operators.bind import bind_cols, bind_rows
-from .operators.groups import group_by, group_keys, ungroup
+from .operators.groups import group_by, group_keys, group_vars, n_groups, ungroup
 from .operators.joins import anti_join, closest, cross_join, full_join, inner_join, join_by, left_join, nest_join, overlaps, right_join, semi_join, within
-from .operators.rows import arrange, distinct, filter, mutate, relocate, rename, rename_with, select
+from .operators.rows import arrange, distinct, filter, mutate, pull, relocate, rename, rename_with, select
 from .operators.sets import intersect, setdiff, symdiff, union, union_all
 from .operators.slices import slice_head, slice_max, slice_min, slice_sample, slice_tail
 from .operators.summarise import add_count, count, reframe, summarise, tally
 from .sources import read_parquet
 from .table import Table
-from .tidyselect import ends_with, everything, starts_with, where
-from .types import is_numeric
+from .tidyselect import all_of, any_of, contains, ends_with, everything, last_col, matches, num_range, starts_with, where
+from .types import is_character, is_double, is_integer, is_logical, is_numeric
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -436,3 +436,133 @@ def log_suite(part: Table) -> Table:
 def extremes(part: Table) -> Table:
     return part >> summarise(low=min(f.p_size), high=max(f.p_size), _by=f.p_brand) >> arrange(desc(f.high))
 
+
+
+@query("SELECT p_name, p_brand, p_type, p_partkey, p_size, p_retailprice FROM part")
+def columns_by_name(part: Table) -> Table:
+    return part >> select(contains("NAME"), matches("^p_(brand|type)$"), all_of(["p_partkey"]), any_of(["p_size", "absent"]), last_col())
+
+
+@query("SELECT p_partkey, p_brand, p_size FROM part")
+def columns_left_out(part: Table) -> Table:
+    return part >> select(-f.p_type, -(contains("price") | all_of("p_name")))
+
+
+@query("SELECT o_orderkey, o_totalprice AS x1, o_totalprice * 2 AS x2, o_totalprice * 10 AS x10 FROM orders")
+def numbered_columns(orders: Table) -> Table:
+    return orders >> mutate(x1=f.o_totalprice, x10=f.o_totalprice * 10, x2=f.o_totalprice * 2) >> select(f.o_orderkey, num_range("x", [1, 2, 3, 10]))
+
+
+@query("SELECT p_partkey, p_size FROM part")
+def integer_columns(part: Table) -> Table:
+    return part >> select(where(is_integer))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem")
+def double_columns(lineitem: Table) -> Table:
+    return lineitem >> select(f.l_orderkey, f.l_linenumber, f.l_partkey, where(is_double))
+
+
+@query("SELECT p_partkey, p_brand FROM part")
+def character_columns(part: Table) -> Table:
+    return part >> select(f.p_partkey, where(is_character) & ~ends_with("e"))
+
+
+@query("SELECT event_id, value > 50 AS high, value < 5 AS low FROM events")
+def logical_columns(events: Table) -> Table:
+    return events >> mutate(high=f.value > 50, low=f.value < 5) >> select(f.event_id, where(is_logical))
+
+
+@query("SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM (SELECT *, rank() OVER (ORDER BY c_acctbal DESC) AS r FROM customer) WHERE r <= 3)")
+def orders_of_pulled_customers(orders: Table, customer: Table) -> Table:
+    return orders >> filter(is_in(f.o_custkey, customer >> slice_max(f.c_acctbal, n=3) >> pull(f.c_custkey)))
+
+
+@query("SELECT n_nationkey, (SELECT count(*) FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)) AS groups, 'c_nationkey c_mktsegment' AS vars FROM nation")
+def groups_of_customers(nation: Table, customer: Table) -> Table:
+    grouped = customer >> group_by(f.c_nationkey, f.c_mktsegment)
+    return nation >> mutate(groups=grouped >> n_groups(), vars=" ".join(grouped >> group_vars())) >> select(f.n_nationkey, f.groups, f.vars)
+
+
+def _statuses(orders: Table):
+    marked = orders >> mutate(status=na_if(f.o_orderstatus, "O")) >> select(f.o_orderkey, f.status)
+    return marked, marked >> summarise(size=n(), _by=f.status)
+
+
+_MARKED = "WITH o AS (SELECT o_orderkey, nullif(o_orderstatus, 'O') AS status FROM orders), s AS (SELECT status, count(*) AS size FROM o GROUP BY status) SELECT o_orderkey, o.status, size FROM o"
+
+
+@query(f"{_MARKED} LEFT JOIN s ON o.status IS NOT DISTINCT FROM s.status")
+def missing_keys_match(orders: Table) -> Table:
+    marked, sizes = _statuses(orders)
+    return marked >> left_join(sizes, by="status")
+
+
+@query(f"{_MARKED} LEFT JOIN s ON o.status = s.status")
+def missing_keys_never_match(orders: Table) -> Table:
+    marked, sizes = _statuses(orders)
+    return marked >> left_join(sizes, by="status", na_matches="never")
+
+
+@query("SELECT n_nationkey, (SELECT min(c_custkey) FROM customer WHERE c_nationkey = n_nationkey) AS opening, (SELECT max(c_custkey) FROM customer WHERE c_nationkey = n_nationkey) AS closing FROM nation")
+def first_and_last_match(nation: Table, customer: Table) -> Table:
+    ordered, by = customer >> arrange(f.c_custkey), {"n_nationkey": "c_nationkey"}
+    return (
+        nation
+        >> select(f.n_nationkey)
+        >> left_join(ordered >> select(f.c_nationkey, opening=f.c_custkey), by=by, multiple="first")
+        >> left_join(ordered >> select(f.c_nationkey, closing=f.c_custkey), by=by, multiple="last")
+    )
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def checked_relationship(nation: Table, region: Table) -> Table:
+    return nation >> left_join(region, by={"n_regionkey": "r_regionkey"}, relationship="many-to-one", unmatched="error")
+
+
+@query("SELECT a.n_regionkey, a.n_name AS n_name_a, b.n_name AS n_name_b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+def suffixed_pairs(nation: Table) -> Table:
+    names = nation >> select(f.n_regionkey, f.n_name)
+    return names >> inner_join(names, by="n_regionkey", suffix=("_a", "_b"))
+
+
+@query("SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size, s_name FROM part JOIN supplier ON p_size = s_suppkey")
+def keys_of_two_widths(part: Table, supplier: Table) -> Table:
+    return part >> select(f.p_partkey, f.p_size) >> inner_join(supplier >> select(f.s_suppkey, f.s_name), by={"p_size": "s_suppkey"})
+
+
+_BEFORE = "WITH b AS (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)"
+
+
+@query(f"""
+{_BEFORE} SELECT user_id, CAST(NULL AS DOUBLE) AS total, round(coalesce(sum(before), 0), 6) AS known, max(before) AS most, count(*) - count(before) AS gaps,
+  CASE WHEN bool_or(before > 90) THEN true END AS some, CASE WHEN NOT bool_and(before > 5) THEN false END AS every FROM b GROUP BY user_id HAVING count(before) > 0""")
+def missing_values_summarised(events: Table) -> Table:
+    """Each user's first event has nothing before it: a sum over it is missing, and so are any() and all() unless the rest decides."""
+    return (
+        events
+        >> arrange(f.ts)
+        >> mutate(before=lag(f.value), _by=f.user_id)
+        >> filter(n() > 1, _by=f.user_id)
+        >> summarise(total=sum(f.before), known=round(sum(f.before, na_rm=True), 6), most=max(f.before, na_rm=True), gaps=sum(is_na(f.before)), some=any(f.before > 90), every=all(f.before > 5), _by=f.user_id)
+    )
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 1 THEN 'nan'::DOUBLE ELSE 1.0 END AS ratio, l_linenumber = 1 AS gone, CASE WHEN l_linenumber = 1 THEN 0.0 ELSE 1.0 END AS filled FROM lineitem""")
+def not_a_number(lineitem: Table) -> Table:
+    return lineitem >> mutate(ratio=(f.l_linenumber - 1) / (f.l_linenumber - 1)) >> mutate(gone=is_na(f.ratio), filled=coalesce(f.ratio, 0.0)) >> select(f.l_orderkey, f.l_linenumber, f.l_partkey, f["ratio":"filled"])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN o_totalprice END AS dear FROM orders")
+def missing_by_choice(orders: Table) -> Table:
+    return orders >> mutate(dear=if_else(f.o_totalprice > 100000, f.o_totalprice, NA)) >> select(f.o_orderkey, f.dear)
+
+
+@query("SELECT p_brand, round(sum(ln(p_size)), 6) AS volume FROM part GROUP BY p_brand")
+def users_own_summary(part: Table) -> Table:
+    """A summary that the library lacks, given as a Spark aggregate."""
+    from pyspark.sql import functions as F
+
+    logs = Call("logs", "summary", lambda mask, v: F.sum(F.log(v.col.cast("double"))), [f.p_size])
+    return part >> summarise(volume=round(logs, 6), _by=f.p_brand)
