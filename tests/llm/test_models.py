@@ -22,6 +22,20 @@ def test_factorization_machine_learns_a_pair():
     assert p[2] > 0.5 and max(p[0], p[1], p[3]) < 0.5
 
 
+def test_terms_that_tell_nothing_alone():
+    """Toxic where exactly one of two terms occurs: each alone is as frequent in both classes."""
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for _ in range(1200):
+        a, b = rng.integers(0, 2, 2)
+        words = ["w" + chr(97 + i // 26) + chr(97 + i % 26) for i in rng.choice(300, 25, replace=False)] + ["left"] * a + ["right"] * b
+        rows.append(toxicity.term_buckets(" ".join(words)))
+        labels.append(int(a != b))
+    model = toxicity.FactorizationMachine.fit(rows[:900], np.array(labels[:900]))
+    assert set(toxicity.term_buckets("left right")) <= set(model.buckets.tolist())
+    assert np.mean((model.score(rows[900:]) >= 0.5) == np.array(labels[900:])) > 0.95
+
+
 def test_toxicity(spark, documents, prose):
     rng = random.Random(2)
     rows, marks = [], []

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,31 @@ def term_buckets(text: str | None) -> list[int]:
     return [zlib.crc32(t.encode("utf-8", "replace")) % BUCKETS for t in set(TERM.findall(text.lower()))] if text else []
 
 
+def unexplained_pairs(owner: np.ndarray, column: np.ndarray, residual: np.ndarray, variance: np.ndarray, terms: int, most: int, least: float = 6.0) -> np.ndarray:
+    """Terms of pairs over whose rows the residuals add up to ``least`` standard deviations or more.
+
+    Such a sum takes at least ``least`` poorly explained rows that hold both terms, so only terms
+    of that many come into question, the ``most`` most frequent ones if they are more: the pairs are
+    counted as a product of matrices of terms, summed over blocks of rows.
+    """
+    poor = np.abs(residual) >= 0.25
+    seen = np.bincount(column[poor[owner]], minlength=terms)
+    chosen = np.argsort(-seen, kind="stable")[:most]
+    chosen = np.sort(chosen[seen[chosen] >= least])
+    place = np.full(terms, -1)
+    place[chosen] = np.arange(len(chosen))
+    total, spread = (np.zeros((len(chosen), len(chosen)), np.float32) for _ in range(2))
+    for at in range(0, len(residual), 1024):
+        cells = slice(*np.searchsorted(owner, [at, at + 1024]))
+        used = place[column[cells]] >= 0
+        x = np.zeros((len(residual[at : at + 1024]), len(chosen)), np.float32)
+        x[owner[cells][used] - at, place[column[cells][used]]] = 1
+        for sums, weight in ((total, residual), (spread, variance)):
+            sums += (x * weight[at : at + 1024, None].astype(np.float32)).T @ x
+    pairs = np.nonzero(np.triu(np.abs(total) / np.sqrt(spread + 1), 1) >= least)
+    return chosen[np.unique(np.concatenate(pairs))]
+
+
 @dataclass
 class FactorizationMachine:
     """Weights over ``buckets``, the hashed terms that were kept (sorted)."""
@@ -44,9 +70,13 @@ class FactorizationMachine:
         return self.bias + x @ self.linear + pairs
 
     @classmethod
-    def fit(cls, rows: list[list[int] | np.ndarray], labels: np.ndarray, features: int = 1024, rank: int = 8, epochs: int = 30, seed: int = 7) -> FactorizationMachine:
+    def fit(cls, rows: list[list[int] | np.ndarray], labels: np.ndarray, features: int = 1024, pair_terms: int = 4096, rank: int = 8, epochs: int = 30, seed: int = 7) -> FactorizationMachine:
         """Keep the terms that differ most between the classes, then train by AdaGrad on log loss.
 
+        Terms that tell nothing alone but much together join them: those of pairs that the machine
+        over the first terms leaves unexplained; it is then trained anew over all.  ``features`` and
+        ``pair_terms`` bound the terms that are picked alone and searched for pairs.
+
         Without rows of both labels, the constant prior is returned.
         """
         y = np.asarray(labels, np.float64)
@@ -63,6 +93,14 @@ class FactorizationMachine:
         z[seen < min(5, 1 + n // 100)] = 0
         keep = np.sort(np.argsort(-z, kind="stable")[:features])
         keep = keep[z[keep] >= min(3.2, z.max())]  # what chance alone makes of many terms stays below
+        model, p = cls._train(terms, keep, owner, column, y, rank, epochs, seed)
+        more = np.setdiff1d(unexplained_pairs(owner, column, y - p, p * (1 - p), len(terms), pair_terms), keep)
+        return cls._train(terms, np.union1d(keep, more), owner, column, y, rank, epochs, seed)[0] if len(more) else model
+
+    @classmethod
+    def _train(cls, terms: np.ndarray, keep: np.ndarray, owner: np.ndarray, column: np.ndarray, y: np.ndarray, rank: int, epochs: int, seed: int) -> tuple[FactorizationMachine, np.ndarray]:
+        """The machine over the kept terms, and its probabilities of the rows."""
+        n, base = len(y), float(y.mean())
         place = np.full(len(terms), -1)
         place[keep] = np.arange(len(keep))
         x = np.zeros((n, len(keep)), np.uint8)
@@ -87,13 +125,17 @@ class FactorizationMachine:
                 model.bias -= step * d0 / g0**0.5
                 model.linear -= step * d1 / np.sqrt(g1)
                 model.factors -= step * d2 / np.sqrt(g2)
-        return model
+        margins = np.concatenate([model.margin(x[at : at + 1024].astype(np.float64)) for at in range(0, n, 1024)])
+        return model, 1 / (1 + np.exp(-np.clip(margins, -40, 40)))
+
+    @cached_property
+    def place(self) -> dict[int, int]:
+        return {int(b): i for i, b in enumerate(self.buckets)}
 
     def score(self, rows: list[list[int]]) -> np.ndarray:
         x = np.zeros((len(rows), len(self.buckets)))
-        place = {int(b): i for i, b in enumerate(self.buckets)}
         for i, row in enumerate(rows):
-            hit = [place[b] for b in row if b in place]
+            hit = [self.place[b] for b in row if b in self.place]
             x[i, hit] = 1
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -40, 40)))
 
