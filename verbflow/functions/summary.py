@@ -172,7 +172,7 @@ def all(x: Any, na_rm: bool = False) -> Call:  # noqa: A001
 def _end(name: str, x: Any, default: Any, na_rm: bool) -> Call:
     def build(mask: Mask, v: Val, d: Val) -> Val:
         dtype = common_type(v.dtype, d.dtype, v.label, "default")
-        at = mask.rows(mask.position)
+        at = mask.sequence()
         value = F.struct(v.cast(dtype).alias("v"))
         if na_rm:
             value, at = F.when(~missing(v), value), F.when(~missing(v), at)
@@ -198,13 +198,11 @@ def nth(x: Any, n: int, order_by: Any = None, default: Any = None, na_rm: bool =
 
     def build(mask: Mask, v: Val, d: Val, *by: Val) -> Val:
         dtype = common_type(v.dtype, d.dtype, v.label, "default")
-        if by:
-            at = mask.rows(lambda: mask.add(F.row_number().over(mask.ordered([nan_to_null(by[0]).asc_nulls_last()]))))
-        else:
-            at = mask.rows(mask.position)
-        item = F.struct(at.alias("o"), v.cast(dtype).alias("v"))
-        values = F.array_sort(mask.agg(F.collect_list(F.when(~missing(v), item) if na_rm else item)))
-        found = F.try_element_at(values, F.lit(n))
+        # rows are numbered from the end that n counts from, and only the n-th is carried on
+        first = [nan_to_null(by[0]).asc_nulls_last() if n > 0 else nan_to_null(by[0]).desc_nulls_first()] if by else []
+        at = mask.rows(lambda: mask.add(F.row_number().over(mask.ordered(first, [missing(v)] if na_rm else [], backwards=n < 0))))
+        wanted = (at == abs(n)) & ~missing(v) if na_rm else at == abs(n)
+        found = mask.agg(F.any_value(F.when(wanted, F.struct(v.cast(dtype).alias("v"))), F.lit(True)))
         return mask.summarised("nth", F.when(found.isNull(), d.cast(dtype)).otherwise(found["v"]), dtype)
 
     return summary("nth", operands, build)

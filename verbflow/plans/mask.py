@@ -60,6 +60,24 @@ def nan_to_null(v: Val) -> Column:
     return v.col
 
 
+def mirrored(v: Val) -> list[Column] | None:
+    """Keys whose rising order is the falling order of the value (NaN first), or None."""
+    match v.dtype:
+        case T.BooleanType():
+            return [~v.col]
+        case T.ByteType() | T.ShortType() | T.IntegerType() | T.LongType():
+            return [F.bitwise_not(v.col)]
+        case T.FloatType() | T.DoubleType():
+            return [~F.isnan(v.col), -v.col]
+        case T.DecimalType():
+            return [-v.col]
+        case T.DateType():
+            return [-F.unix_date(v.col)]
+        case T.TimestampType():
+            return [-F.unix_micros(v.col)]
+    return None
+
+
 def literal_type(value) -> T.DataType:
     match value:
         case None:
@@ -113,10 +131,14 @@ class Mask:
         self.table = self.table.with_order()
         return Window.partitionBy(*self.keys())
 
-    def ordered(self, first: list[Column] = (), split: list[Column] = ()) -> WindowSpec:
-        """Rows of a group by ``first``, then in row order."""
+    def ordered(self, first: list[Column] = (), split: list[Column] = (), backwards: bool = False) -> WindowSpec:
+        """Rows of a group by ``first``, then in row order or against it."""
         self.table = self.table.with_order()
-        return Window.partitionBy(*self.keys(), *split).orderBy(*first, *self.table.order_columns())
+        if backwards:
+            by = [c(n).desc_nulls_first() if up else c(n).asc_nulls_first() for n, up in self.table.order]
+        else:
+            by = self.table.order_columns()
+        return Window.partitionBy(*self.keys(), *split).orderBy(*first, *by)
 
     def running(self) -> WindowSpec:
         return self.ordered().rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -179,6 +201,23 @@ class Mask:
         """A hidden column that numbers the rows of each group in row order."""
         return self.add(F.row_number().over(self.ordered()))
 
+    def sequence(self) -> Column:
+        """A value that grows in row order, for min_by and max_by: no window has to number the rows.
+
+        A falling key takes its mirror image; where a type has none, the rows are numbered.
+        """
+        self.table = self.table.with_order()
+        parts: list[Column] = []
+        for name, up in self.table.order:
+            key = Val(c(name), self.df.schema[name].dataType)
+            if not up:
+                if (down := mirrored(key)) is None:
+                    return self.rows(self.position)
+                parts += [key.col.isNull(), *down]
+            else:
+                parts += [key.col.isNull(), key.col]
+        return F.struct(*(p.alias(f"k{i}") for i, p in enumerate(parts))) if parts else self.rows(self.position)
+
     # expressions
     def compile(self, expr) -> Val:
         expr = wrap(expr)
