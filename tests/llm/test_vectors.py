@@ -45,8 +45,15 @@ def test_near_duplicates_empty(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).collect() == []
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize(("block", "ranges", "spread"), [(32768, 64, False), (37, 64, False), (37, 4, True)])
+def test_top_k(spark, monkeypatch, block, ranges, spread):
+    """In one range, in many, and in ranges of several blocks; lengths alike (thirty the same) and far apart."""
+    monkeypatch.setattr(topk, "VECTOR_BLOCK", block)
+    monkeypatch.setattr(topk, "RANGES", ranges)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4096 if ranges == 64 else 2)
     x = vectors(2)
+    if spread:
+        x *= np.random.default_rng(8).gamma(1, 2, len(x)).astype(np.float32)[:, None]
     df = frame(spark, x, ODD[:2] + ODD[3:])
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_inner_products(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
     v = np.floor(256 * x.astype(float))
@@ -58,6 +65,25 @@ def test_top_k(spark):
     assert got == expected
 
 
+def test_equal_lengths_crowd_no_range(spark):
+    df = spark.range(400).selectExpr("id", "CASE WHEN id < 200 THEN 2.0D ELSE id / 100D END norm")
+    dealt, longest = topk.by_length(df, 8)
+    sizes = {r["range"]: r["count"] for r in dealt.groupBy("range").count().collect()}
+    assert sum(sizes.values()) == 400 and max(sizes.values()) < 100
+    rows = sorted(((r["range"], -r.norm) for r in dealt.collect()))
+    assert [n for _, n in rows] == sorted(n for _, n in rows)
+    assert all(longest[r] == max(-n for g, n in rows if g == r) for r in sizes)
+
+
+def test_a_bound_keeps_short_vectors_away():
+    """With the k-th best score known, a block that can't reach it returns nothing, and ties still count."""
+    v = np.array([[3.0, 0.0], [2.0, 0.0], [1.0, 0.0]])
+    q = np.array([[1.0, 0.0]])
+    found = topk.search_block(q, np.array([9]), v, np.arange(3), np.eye(2), 2, np.array([2.0]))
+    assert sorted(zip(*(a.tolist() for a in found[1:]), strict=True)) == [(0, 3), (1, 2)]
+    assert len(topk.search_block(q, np.array([9]), v, np.arange(3), np.eye(2), 2, np.array([4.0]))[0]) == 0
+
+
 def test_top_k_few_and_none(spark):
     df = frame(spark, vectors(3)[:3])
     assert topk.top_inner_products(df, df.where("vec_id = 0")).count() == 2
