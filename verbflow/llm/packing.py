@@ -16,6 +16,7 @@ import os
 import re
 import zlib
 from array import array
+from bisect import bisect_right
 from collections import Counter
 from pathlib import Path
 
@@ -94,15 +95,20 @@ def fillings(counts: dict[int, int], room: int, allowed: int, limit: int = 16, e
     if room in counts:
         return [(room,)]
     lengths = [n for n in sorted(counts, reverse=True) if n <= room]
+    rising = lengths[::-1]
     found: list[tuple[int, Pattern]] = []
     steps = 0
 
     def undominated(way: list[int], left: int) -> bool:
+        if not left:
+            return True
         used = Counter(way)
-        spare = [n for n in lengths if counts[n] > used[n]]
-        if any(n <= left for n in spare):
-            return False
-        return not any(a < b <= a + left for a in used for b in spare)
+
+        def spare(low: int, high: int) -> bool:
+            """Whether a piece over ``low`` and up to ``high`` is left over."""
+            return any(counts[n] > used[n] for n in rising[bisect_right(rising, low) : bisect_right(rising, high)])
+
+        return not spare(0, left) and not any(spare(a, a + left) for a in used)
 
     def walk(at: int, left: int, way: list[int]) -> None:
         nonlocal steps
