@@ -2,6 +2,7 @@
 
 import collections
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -36,6 +37,24 @@ def test_terms_that_tell_nothing_alone():
     assert np.mean((model.score(rows[900:]) >= 0.5) == np.array(labels[900:])) > 0.95
 
 
+def test_pairs_are_counted_in_strips():
+    """The same terms however wide the strips are, and never a matrix of all pairs."""
+    rng = np.random.default_rng(4)
+    n, terms, each = 1500, 2000, 20
+    owner, column = np.repeat(np.arange(n), each), np.concatenate([np.sort(rng.choice(terms, each, replace=False)) for _ in range(n)])
+    both = np.isin(np.arange(n), owner[column == 3]) ^ np.isin(np.arange(n), owner[column == 1900])
+    column[owner < 200] = np.tile(np.r_[3, 1900, 100:118], 200)
+    residual = np.where(np.arange(n) < 200, 0.5, np.where(both, -0.3, 0.3 * rng.choice([-1, 1], n)))
+    variance = np.full(n, 0.25)
+    wide = toxicity.unexplained_pairs(owner, column, residual, variance, terms, terms, strip=terms)
+    tracemalloc.start()
+    narrow = toxicity.unexplained_pairs(owner, column, residual, variance, terms, terms, strip=100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {3, 1900} <= set(wide.tolist()) and wide.tolist() == narrow.tolist()
+    assert peak < terms * terms * 4
+
+
 def test_toxicity(spark, documents, prose):
     rng = random.Random(2)
     rows, marks = [], []

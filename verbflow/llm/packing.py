@@ -136,6 +136,15 @@ def fillings(counts: dict[int, int], room: int, allowed: int, limit: int = 16, e
     return [w for _, w in found] or ([()] if not lengths else [])
 
 
+def unchained(plan: tuple | None) -> list[tuple[Pattern, int]]:
+    """A chain (what came before, last) as a list."""
+    out = []
+    while plan:
+        plan, last = plan
+        out.append(last)
+    return out[::-1]
+
+
 def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 4000) -> list[tuple[Pattern, int]]:
     """Plan [(lengths that share a sequence, how often)].
 
@@ -149,22 +158,29 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 4000) ->
     size = sum(n for _, n in best)
     least = lower_bound(counts, capacity)
     volume = sum(n * c for n, c in counts.items())
-    stack: list[tuple[dict[int, int], list[tuple[Pattern, int]], int]] = [(counts, [], 0)]
+    # a branch is held as its parent's counts and what to take from them, and a plan as a chain of what was taken,
+    # so the stack grows by a few numbers a branch, not by all counts
+    stack: list[tuple] = [(counts, (), 0, None, 0, 0)]
     while stack and nodes > 0 and size > least:
-        rest, plan, waste = stack.pop()
+        rest, pattern, many, plan, done, waste = stack.pop()
         nodes -= 1
+        if many:
+            need = Counter(pattern)
+            rest = {n: left for n, c in rest.items() if (left := c - need.get(n, 0) * many)}
+            plan = (plan, (pattern, many))
+            done += many
         allowed = (size - 1) * capacity - volume - waste  # a better plan wastes this much at most
-        if allowed < 0 or rest and sum(n for _, n in plan) + lower_bound(rest, capacity) >= size:
+        if allowed < 0 or rest and done + lower_bound(rest, capacity) >= size:
             continue
         if not rest:
-            best, size = plan, sum(n for _, n in plan)
+            best, size = unchained(plan), done
             continue
         # best fit of the rest is an incumbent too
         if nodes % 16 == 0:
             tail = best_fit(rest, capacity)
-            whole = sum(n for _, n in plan) + sum(n for _, n in tail)
+            whole = done + sum(n for _, n in tail)
             if whole < size:
-                best, size = plan + tail, whole
+                best, size = unchained(plan) + tail, whole
                 continue
         top = max(rest)
         others = {n: c - (n == top) for n, c in rest.items() if c > (n == top)}
@@ -177,8 +193,7 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 4000) ->
             if lost:
                 times = min(times, allowed // lost)
             for many in sorted({min(1, times), times} - {0}):  # as often as it goes first, then once
-                after = {n: c - need.get(n, 0) * many for n, c in rest.items()}
-                stack.append(({n: c for n, c in after.items() if c}, [*plan, (pattern, many)], waste + lost * many))
+                stack.append((rest, pattern, many, plan, done, waste + lost * many))
     return best
 
 

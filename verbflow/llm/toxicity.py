@@ -29,29 +29,41 @@ def term_buckets(text: str | None) -> list[int]:
     return [zlib.crc32(t.encode("utf-8", "replace")) % BUCKETS for t in set(TERM.findall(text.lower()))] if text else []
 
 
-def unexplained_pairs(owner: np.ndarray, column: np.ndarray, residual: np.ndarray, variance: np.ndarray, terms: int, most: int, least: float = 6.0) -> np.ndarray:
+def unexplained_pairs(owner: np.ndarray, column: np.ndarray, residual: np.ndarray, variance: np.ndarray, terms: int, most: int, least: float = 6.0, strip: int = 512) -> np.ndarray:
     """Terms of pairs over whose rows the residuals add up to ``least`` standard deviations or more.
 
     Such a sum takes at least ``least`` poorly explained rows that hold both terms, so only terms
     of that many come into question, the ``most`` most frequent ones if they are more: the pairs are
-    counted as a product of matrices of terms, summed over blocks of rows.
+    counted as a product of matrices of terms, summed over blocks of rows, ``strip`` terms against all
+    later ones at a time, so that no matrix of all pairs is held.
     """
     poor = np.abs(residual) >= 0.25
-    seen = np.bincount(column[poor[owner]], minlength=terms)
+    seen = np.bincount(column[np.repeat(poor, np.diff(np.searchsorted(owner, np.arange(len(residual) + 1))))], minlength=terms)
     chosen = np.argsort(-seen, kind="stable")[:most]
     chosen = np.sort(chosen[seen[chosen] >= least])
-    place = np.full(terms, -1)
+    place = np.full(terms, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    total, spread = (np.zeros((len(chosen), len(chosen)), np.float32) for _ in range(2))
-    for at in range(0, len(residual), 1024):
-        cells = slice(*np.searchsorted(owner, [at, at + 1024]))
+    # the chosen terms of every 256 rows, as cells of a matrix that is made anew for each strip
+    blocks = []
+    for at in range(0, len(residual), 256):
+        cells = slice(*np.searchsorted(owner, [at, at + 256]))
         used = place[column[cells]] >= 0
-        x = np.zeros((len(residual[at : at + 1024]), len(chosen)), np.float32)
-        x[owner[cells][used] - at, place[column[cells][used]]] = 1
-        for sums, weight in ((total, residual), (spread, variance)):
-            sums += (x * weight[at : at + 1024, None].astype(np.float32)).T @ x
-    pairs = np.nonzero(np.triu(np.abs(total) / np.sqrt(spread + 1), 1) >= least)
-    return chosen[np.unique(np.concatenate(pairs))]
+        blocks.append((at, ((owner[cells][used] - at) * len(chosen) + place[column[cells][used]]).astype(np.int32)))
+    found = np.zeros(len(chosen), bool)
+    x = np.empty((256, len(chosen)), np.float32)
+    for a in range(0, len(chosen), strip):  # of the pairs' matrix, right of the diagonal
+        b = min(a + strip, len(chosen))
+        total, spread = (np.zeros((b - a, len(chosen) - a), np.float32) for _ in range(2))
+        for at, cells in blocks:
+            n = len(residual[at : at + 256])
+            x[:] = 0
+            x.reshape(-1)[cells] = 1
+            for sums, weight in ((total, residual), (spread, variance)):
+                sums += (x[:n, a:b] * weight[at : at + 256, None].astype(np.float32)).T @ x[:n, a:]
+        pairs = np.nonzero(np.triu(np.abs(total) / np.sqrt(spread + 1), 1) >= least)
+        for side in pairs:
+            found[a + side] = True
+    return chosen[found]
 
 
 @dataclass
@@ -84,10 +96,13 @@ class FactorizationMachine:
         if not 0 < positives < n:
             prior = min(max(positives / (n + 1), 1e-6), 1 - 1e-6)
             return cls(np.empty(0, np.int64), float(np.log(prior / (1 - prior))), np.empty(0), np.empty((0, rank)))
-        owner = np.repeat(np.arange(n), [len(r) for r in rows])
-        terms, column = np.unique(np.concatenate([np.asarray(r, np.int64) for r in rows]), return_inverse=True)
+        # 32-bit cells: the driver holds one row number and one term number for each term of each row
+        sizes = [len(r) for r in rows]
+        owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        terms = np.unique(np.concatenate([np.empty(0, np.int64), *(np.unique(np.concatenate([np.asarray(r) for r in rows[at : at + 1024]])) for at in range(0, n, 1024))]))
+        column = np.concatenate([np.searchsorted(terms, np.asarray(r)).astype(np.int32) for r in rows])
         seen = np.bincount(column, minlength=len(terms))
-        toxic = np.bincount(column, weights=y[owner], minlength=len(terms))
+        toxic = np.bincount(column[np.repeat(y > 0, sizes)], minlength=len(terms))
         base = positives / n
         z = np.abs(toxic - seen * base) / np.sqrt(seen * base * (1 - base) + 1.0)
         z[seen < min(5, 1 + n // 100)] = 0
@@ -101,11 +116,12 @@ class FactorizationMachine:
     def _train(cls, terms: np.ndarray, keep: np.ndarray, owner: np.ndarray, column: np.ndarray, y: np.ndarray, rank: int, epochs: int, seed: int) -> tuple[FactorizationMachine, np.ndarray]:
         """The machine over the kept terms, and its probabilities of the rows."""
         n, base = len(y), float(y.mean())
-        place = np.full(len(terms), -1)
+        place = np.full(len(terms), -1, np.int32)
         place[keep] = np.arange(len(keep))
         x = np.zeros((n, len(keep)), np.uint8)
-        used = place[column] >= 0
-        x[owner[used], place[column[used]]] = 1
+        for at in range(0, len(column), 1 << 20):
+            to = place[column[at : at + (1 << 20)]]
+            x[owner[at : at + (1 << 20)][to >= 0], to[to >= 0]] = 1
 
         rng = np.random.default_rng(seed)
         model = cls(terms[keep], float(np.log(base / (1 - base))), np.zeros(len(keep)), rng.normal(0, 0.02, (len(keep), rank)))
