@@ -173,6 +173,25 @@ def test_lm_tables_and_stream_grow_with_the_training_words(spark, monkeypatch):
     assert sizes[1] > sizes[0] and streams[1] > 5 * streams[0] and least == [10, 10]
 
 
+def test_lm_weights_learn_from_all_training_tokens(spark, monkeypatch):
+    """What the merged weights have used adds up to every bit of every training token, as often as it occurs."""
+    counts = np.array([0, 1, 64, 65, 200, 0])
+    whose, tokens = lm_score.learning_pieces(counts, 64, [1])
+    assert np.bincount(whose, tokens, 6).tolist() == counts.tolist() and tokens.min() > 0 and tokens.max() <= 64 and len(whose) == 8
+    used, real = [], lm_score.Mixer.merge
+
+    def merge(self, parts):
+        real(self, parts)
+        used.append(self.used.sum())
+
+    monkeypatch.setattr(lm_score.Mixer, "merge", merge)
+    texts = [" ".join(["the"] * (i % 70) + [f"rare{i}"]) for i in range(300)]
+    df = spark.createDataFrame([(i, t, i % 5 != 0, f"k{i % 2}") for i, t in enumerate(texts)], "doc_id bigint, text string, learn boolean, lang string")
+    assert lm_score.score_texts(df, learn_col="learn", stream_words=10).count() == 300
+    bits = 8 * sum(len(w) + 1 for i, t in enumerate(texts) if i % 5 for w in [*t.split(), "."])
+    assert abs(used[0] * 64 - bits) < 1e-6 * bits
+
+
 def test_lm_probabilities_add_up():
     """Over all first bytes, and over all next bytes of a prefix, probabilities sum to one."""
     tables = np.zeros((2, lm_score.BASE[-1]), np.float32)

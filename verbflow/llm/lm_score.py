@@ -21,8 +21,8 @@ The counts come from all training documents: blocks of documents hand on their d
 words, packed by hash buckets; a bucket sums them up, evaluates its words and answers each
 block.  No word list, of the corpus or of a block, comes to the driver or is broadcast.  The
 hashed tables double until they have a slot for each distinct training word of a class, and the
-weights are learned in every bucket on a stream as long as its share of the training tokens
-asks for, then merged by how often each was used.
+weights are learned in every bucket from all training tokens there, those of a word up to
+TOKENS_PER_STEP at once, then merged by how often each was used.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ SIZES = tuple(1 << s for s in SLOTS)
 BASE = np.concatenate([[0], np.cumsum(SIZES)])
 GATES = 8 * 5 * 3
 STEPS = 33
-#: One of so many training tokens is drawn to learn the weights from.
+#: Training tokens that make one step of the weights: a word's tokens are learned from so many at once.
 TOKENS_PER_STEP = 64
 
 
@@ -196,17 +196,23 @@ class Mixer:
         mapped = self.refine[gate, low] * (1 - part) + self.refine[gate, low + 1] * part
         return np.clip(0.5 * mapped + 0.5 / (1 + np.exp(-s)), 1e-6, 1 - 1e-6), low, part
 
-    def learn(self, words: list[bytes], classes: np.ndarray, tables: np.ndarray, rate: float = 0.02) -> None:
+    def learn(self, words: list[bytes], classes: np.ndarray, share: np.ndarray, tables: np.ndarray, rate: float = 0.02) -> None:
         """Online over a stream of words: every step corrects the weights and the map of the gates it used.
 
+        A word counts as much as its ``share`` (0 to 1) says; words whose shares make 64 are one step.
         Each word is predicted from the counts without its own one, as an unseen text's would be.
         """
         extra = doubled(tables.shape[1])
-        steps = max(1, len(words) // 64)
-        for t, a in enumerate(range(0, len(words), 64)):
+        reach = np.cumsum(share, dtype=np.float64)
+        steps = max(1, int(reach[-1]) // 64) if len(reach) else 0
+        cuts = [0, *np.searchsorted(reach, 64.0 * np.arange(1, steps), "right").tolist(), len(words)]
+        for t, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if a == b:
+                continue
             now = rate * (1 - 0.9 * t / steps)
-            byte, owner, h = contexts(words[a : a + 64])
-            line = all_lines(h, byte, classes[a : a + 64][owner], extra)
+            byte, owner, h = contexts(words[a:b])
+            w = share[a:b][owner].astype(np.float64)
+            line = all_lines(h, byte, classes[a:b][owner], extra)
             for bit in range(8):
                 at = line[bit // 4] ^ node(byte, bit)
                 y = (byte >> (7 - bit)) & 1
@@ -215,15 +221,14 @@ class Mixer:
                 s = (self.weights[gate].T * x).sum(0)
                 error = y - 1 / (1 + np.exp(-np.clip(s, -30, 30)))
                 step = np.zeros_like(self.weights)
-                np.add.at(step, gate, (np.clip(x, -8, 8) * error).T)
-                used = np.bincount(gate, minlength=GATES)[:, None]
+                np.add.at(step, gate, (np.clip(x, -8, 8) * (error * w)).T)
+                used = np.bincount(gate, w, GATES)[:, None]
                 self.used += used
                 self.weights += now * step / np.maximum(1, used) ** 0.5
-                _, low, share = self._refined(s, gate)
-                np.add.at(self.mapped, (gate, low), 1 - share)
-                np.add.at(self.mapped, (gate, low + 1), share)
-                np.add.at(self.refine, (gate, low), 0.01 * (1 - share) * (y - self.refine[gate, low]))
-                np.add.at(self.refine, (gate, low + 1), 0.01 * share * (y - self.refine[gate, low + 1]))
+                _, low, part = self._refined(s, gate)
+                for at, much in ((low, w * (1 - part)), (low + 1, w * part)):
+                    np.add.at(self.mapped, (gate, at), much)
+                    np.add.at(self.refine, (gate, at), 0.01 * much * (y - self.refine[gate, at]))
         np.clip(self.refine, 1e-5, 1 - 1e-5, out=self.refine)
 
     def log10_words(self, words: list[bytes], wanted: list[int], first: bool = False) -> np.ndarray:
@@ -470,6 +475,16 @@ def bucket_counts(rows: list[tuple[bytes, bytes]], classes: int) -> tuple[dict[b
     return number, total, at
 
 
+def learning_pieces(counts: np.ndarray, most: int, seed: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """All counts, in pieces of at most ``most`` and in random order: whose each is, and its tokens."""
+    whose = np.repeat(np.arange(len(counts)), -(-counts // most))
+    tokens = np.full(len(whose), most, np.int64)
+    some = np.flatnonzero(counts)
+    tokens[np.cumsum(-(-counts // most))[some] - 1] = (counts[some] - 1) % most + 1
+    order = np.random.default_rng(seed).permutation(len(whose))
+    return whose[order], tokens[order]
+
+
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", learn_col: str, class_col: str | None = "lang", max_classes: int | None = None, stream_words: int = 40_000) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row.
 
@@ -477,9 +492,9 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     score with add-one smoothing, ``score`` the log10 probability by context mixing.
     ``class_col`` names classes of training documents (all of them, or the ``max_classes`` most
     frequent; the rest and nulls are one more); a scored text's class is never read.  All counts cover all
-    training rows; the mixing weights and the map of bytes learn online in every bucket from one of
-    TOKENS_PER_STEP training tokens, or ``stream_words`` in all if that is more, drawn in
-    proportion to their counts from all words of the bucket.  Null and empty texts are one end mark; without
+    training rows; the mixing weights and the map of bytes learn online in every bucket from all
+    training tokens, those of a word up to TOKENS_PER_STEP at once (fewer, and tokens several times, where
+    that made less than ``stream_words`` steps in all).  Null and empty texts are one end mark; without
     training rows all counts are zero.  Repeated rows and rows that share an id are scored each; very long texts are
     read whole.  Other columns take no part.
     """
@@ -513,8 +528,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         n = sum(int((bucket_counts([p[2:] for p in packs], classes)[1] > 0).sum()) for packs in packets(batches).values())
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-    # words lie in buckets by hash, so one bucket of 16 tells how many distinct ones there are
-    extra = doublings(16 * (buckets.where("key % 16 = 0").mapInArrow(counted, "n long").agg(F.sum("n")).first()[0] or 0))
+    extra = doublings(buckets.mapInArrow(counted, "n long").agg(F.sum("n")).first()[0] or 0)
     slots_all = int(BASE[-1]) << extra
 
     def summed(batches):
@@ -575,14 +589,15 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             number, total, _ = bucket_counts([p[2:] for p in sorted(held[key], key=lambda p: p[:2])], classes)
             words += number
             counts.append(total)
-        mine = sum(int(c.sum()) for c in counts)
-        if not mine:
+        tokens = np.concatenate(counts).ravel() if counts else np.empty(0, np.int64)
+        if not tokens.any():
             return
-        reach = np.cumsum(np.concatenate(counts).ravel())
-        steps = int(np.ceil(max(mine / TOKENS_PER_STEP, stream_words * mine / n_train)))
-        picked = np.searchsorted(reach, np.random.default_rng([3, min(held)]).integers(0, mine, steps), "right")
+        most = max(1, min(TOKENS_PER_STEP, n_train // stream_words))
+        passes = max(1, -(-stream_words // n_train))
+        whose, n = learning_pieces(np.tile(tokens, passes), most, [3, min(held)])
+        whose %= len(tokens)
         own = Mixer(np.empty(0), np.empty(0), classes)
-        own.learn([words[i // classes] for i in picked.tolist()], picked % classes, counts_sent.value)
+        own.learn([words[i] for i in (whose // classes).tolist()], whose % classes, n / most, counts_sent.value)
         yield pa.RecordBatch.from_arrays([pa.array([min(held)], pa.int64()), pa.array([own.learned()], pa.binary())], ["key", "data"])
 
     def told(batches):
