@@ -192,6 +192,18 @@ def test_lm_weights_learn_from_all_training_tokens(spark, monkeypatch):
     assert abs(used[0] * 64 - bits) < 1e-6 * bits
 
 
+def test_lm_map_stays_a_probability():
+    """Steps in which hundreds of bytes share a gate and a cell of the map don't overshoot."""
+    words = [b"aaaaaaaaaaaa", b"aaaaaaaaaaab"] * 6400
+    tables = np.zeros((2, lm_score.BASE[-1]), np.float32)
+    lm_score.count_bits(words[:2], np.full((2, 1), 6400), tables)
+    mixer = lm_score.Mixer(np.empty(0), np.empty(0), 1)
+    mixer.learn(words, np.zeros(len(words), np.int64), np.ones(len(words)), tables)
+    assert np.isfinite(mixer.weights).all()
+    used = mixer.mapped > 0
+    assert np.isfinite(mixer.refine).all() and mixer.refine[4 * 3 + 2, 0] < 0.01 and used.any()
+
+
 def test_lm_probabilities_add_up():
     """Over all first bytes, and over all next bytes of a prefix, probabilities sum to one."""
     tables = np.zeros((2, lm_score.BASE[-1]), np.float32)

@@ -205,6 +205,7 @@ class Mixer:
         extra = doubled(tables.shape[1])
         reach = np.cumsum(share, dtype=np.float64)
         steps = max(1, int(reach[-1]) // 64) if len(reach) else 0
+        mapped, refine = self.mapped.reshape(-1), self.refine.reshape(-1)  # changed in place
         cuts = [0, *np.searchsorted(reach, 64.0 * np.arange(1, steps), "right").tolist(), len(words)]
         for t, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if a == b:
@@ -220,15 +221,16 @@ class Mixer:
                 gate = self._gate(bit, trust[4], trust[3])
                 s = (self.weights[gate].T * x).sum(0)
                 error = y - 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-                step = np.zeros_like(self.weights)
-                np.add.at(step, gate, (np.clip(x, -8, 8) * (error * w)).T)
+                step = np.stack([np.bincount(gate, row, GATES) for row in np.clip(x, -8, 8) * (error * w)], 1)
                 used = np.bincount(gate, w, GATES)[:, None]
                 self.used += used
                 self.weights += now * step / np.maximum(1, used) ** 0.5
                 _, low, part = self._refined(s, gate)
-                for at, much in ((low, w * (1 - part)), (low + 1, w * part)):
-                    np.add.at(self.mapped, (gate, at), much)
-                    np.add.at(self.refine, (gate, at), 0.01 * much * (y - self.refine[gate, at]))
+                for at, much in ((gate * STEPS + low, w * (1 - part)), (gate * STEPS + low + 1, w * part)):
+                    hits = np.bincount(at, much, len(mapped))
+                    mapped += hits
+                    # as steps of 0.01 one after the other: many bytes of one cell can't overshoot
+                    refine += (1 - 0.99**hits) * (np.bincount(at, much * y, len(refine)) / np.maximum(hits, 1e-300) - refine)
         np.clip(self.refine, 1e-5, 1 - 1e-5, out=self.refine)
 
     def log10_words(self, words: list[bytes], wanted: list[int], first: bool = False) -> np.ndarray:
