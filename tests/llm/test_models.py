@@ -5,8 +5,10 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from verbflow.llm import html_extract, langid, lm_score, toxicity
+from verbflow.llm.common import ascii_words
 
 
 def test_factorization_machine_learns_a_pair():
@@ -215,6 +217,34 @@ def test_lm_probabilities_add_up():
     assert np.allclose(np.exp(lm_score.after_word(counts)).sum(1), 1)
 
 
+def test_lm_evaluates_a_prefix_once(monkeypatch):
+    """Words that begin alike are evaluated once as far as they do, with the result each has alone."""
+    rng = random.Random(5)
+    words = sorted({("stem" * 5 + "".join(rng.choice("abxyz") for _ in range(rng.randrange(6)))).encode() for _ in range(400)} | {b"\x00", "é€".encode(), b"stem"})
+    rng.shuffle(words)
+    tables = np.zeros((2, lm_score.BASE[-1]), np.float32)
+    lm_score.count_bits(words, np.full((len(words), 2), 3), tables)
+    assert tables.sum() == 2 * 3 * 6 * 8 * sum(len(w) + 1 for w in words)
+    mixer = lm_score.Mixer.of(tables, 2)
+    alone = np.concatenate([mixer.log10_words([w], [0, 1]) for w in words[:40]])
+    sizes, real = [], lm_score.salted
+    monkeypatch.setattr(lm_score, "salted", lambda h, cls: sizes.append(h.shape[1]) or real(h, cls))
+    together = mixer.log10_words(words, [0, 1])
+    assert np.allclose(alone, together[:40], atol=1e-4)
+    assert sum(sizes) <= 2 * 2 * len({(w + b" ")[: i + 1] for w in words for i in range(len(w) + 1)})
+
+
+def test_lm_words_are_those_of_ascii_words():
+    rng = random.Random(6)
+    letters = [chr(i) for i in range(0x180)] + [" "] * 60 + [" ", "　", "\U0001f600"]
+    texts = [None, "", " \t", *("".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(300))]
+    for kind in (pa.string(), pa.large_string()):
+        words, number, many = lm_score.numbered_words(pa.array(["x", *texts], kind).slice(1))
+        expected = [ascii_words(t) for t in texts]
+        assert many.tolist() == list(map(len, expected))
+        assert [words[i] for i in number] == [w for x in expected for w in x] and len(set(words)) == len(words)
+
+
 def test_lm_reads_in_order():
     """A text's probability is that of its words one after the other, by a plain loop."""
     rng = np.random.default_rng(2)

@@ -28,16 +28,18 @@ TOKENS_PER_STEP at once, then merged by how often each was used.
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import InitVar, dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_words, ensure_checkpoint_dir, mix64, release, shuffle_width
+from .common import ensure_checkpoint_dir, mix64, release, shuffle_width
 
 #: The end mark: white space, so no word is spelt like it.
 END = b"\x0b"
@@ -45,18 +47,39 @@ END = b"\x0b"
 ROWS = 1 << 13
 #: What the contexts of the last word and the last two have seen (3 x 3 x agreement), and bins of a text's record.
 REPEAT_GATES, BINS = 18, 24
-#: Tokens that are read at once; a longer text is read whole.
-AT_ONCE = 500_000
+#: Tokens that are read at once, few enough for the processor's cache; a longer text is read whole.
+AT_ONCE = 20_000
 #: log2 of the least slots of each predictor's table (they double together): last 1, 2, 3, 4 bytes, the whole word so far, the same for all classes together.
 SLOTS = (16, 18, 19, 19, 19, 19)
 SIZES = tuple(1 << s for s in SLOTS)
 BASE = np.concatenate([[0], np.cumsum(SIZES)])
 GATES = 8 * 5 * 3
 STEPS = 33
+BITS = np.arange(8)
 #: Training tokens that make one step of the weights: a word's tokens are learned from so many at once.
 TOKENS_PER_STEP = 64
 
 
+class Numbers(dict):
+    """Numbers of words from 0 by first sight."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def numbered_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words (those of ``ascii_words``) by first sight, every word's number in order, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = pc.list_flatten(lists)
+    full = pc.not_equal(pc.binary_length(words), 0)  # next to white space at either end there is an empty one
+    before = np.r_[0, np.cumsum(full.to_numpy(zero_copy_only=False))]
+    ends = np.cumsum(np.r_[0, pc.list_value_length(lists).to_numpy(zero_copy_only=False)])
+    coded = words.filter(full).dictionary_encode()
+    kind = pa.large_binary() if pa.types.is_large_string(words.type) else pa.binary()
+    return coded.dictionary.cast(kind).to_pylist(), coded.indices.to_numpy(), np.diff(before[ends])
+
+
 def contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Over all bytes of the words, each with its closing space: byte, owner, context hashes (6, n)."""
     flat = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.uint64)
@@ -80,6 +103,36 @@ def contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat.astype(np.int64), owner, h
 
 
+def halves(byte: np.ndarray, owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same by half bytes: four bits, owner, context hashes that for a low half know the high one."""
+    both = np.repeat(h, 2, 1)
+    both[:, 1::2] += after_high(byte)
+    return np.stack([byte >> 4, byte & 15], 1).ravel(), np.repeat(owner, 2), both
+
+
+def after_high(byte: np.ndarray) -> np.ndarray:
+    return (byte >> 4 | 16).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+
+
+def shared_prefixes(byte: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the (half) bytes of sorted words those whose word so far is new, and for each which of these says the same.
+
+    Contexts are all within the word so far, so equal prefixes need one evaluation.
+    """
+    size = np.bincount(owner)
+    starts = np.cumsum(size) - size
+    place = np.arange(len(byte)) - starts[owner]
+    same = (owner > 0) & (place < size[owner - 1])
+    same &= byte[np.where(same, starts[owner - 1] + place, 0)] == byte
+    shared = np.minimum.reduceat(np.where(same, len(byte), place), starts)  # with the word before
+    new = place >= shared[owner]
+    order = np.argsort(place.astype(np.uint16) if size.max() < 1 << 16 else place, kind="stable")
+    last = np.maximum.accumulate(np.where(new[order], np.arange(len(byte)), 0))
+    node = np.empty(len(byte), np.int64)
+    node[order] = (np.cumsum(new) - 1)[order][last]
+    return np.flatnonzero(new), node
+
+
 def salted(h: np.ndarray, cls) -> np.ndarray:
     """Context hashes of a class (one for all columns, or one each)."""
     return h + (np.atleast_1d(np.asarray(cls, np.uint64)) + np.uint64(1)) * np.uint64(0x632BE59BD9B4E019)
@@ -95,29 +148,35 @@ def doubled(size: int) -> int:
     return (size // int(BASE[-1])).bit_length() - 1
 
 
-def lines(h: np.ndarray, byte: np.ndarray, first: int, last: int, extra: int = 0) -> np.ndarray:
-    """A counter of predictors first to last (one row of ``h`` each) for either half of each byte.
+def lines(h: np.ndarray, byte: np.ndarray, first: int, extra: int = 0) -> np.ndarray:
+    """A counter of predictors from ``first`` on (one row of ``h`` each) for either half of each byte.
 
     A half's four bits are predicted from counters whose numbers differ from it in their last four bits (``node``), so a
     context is hashed twice a byte and its counters are neighbours.
     """
-    high = (byte >> 4 | 16).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-    out = np.empty((2, last - first, len(byte)), np.int64)
-    for k in range(first, last):
-        for half in range(2):
-            mixed = h[k - first] + high if half else h[k - first]
-            mixed = mixed ^ mixed >> np.uint64(29)
-            out[half, k - first] = (mixed * np.uint64(0x9FB21C651E98DF25) >> np.uint64(64 - SLOTS[k] - extra)).astype(np.int64) + (BASE[k] << extra)
+    return np.stack([line_numbers(h, first, extra), line_numbers(h + after_high(byte), first, extra)])
+
+
+def line_numbers(h: np.ndarray, first: int, extra: int) -> np.ndarray:
+    out = np.empty(h.shape, np.int64)
+    for k, mixed in enumerate(h, first):
+        mixed = mixed ^ mixed >> np.uint64(29)
+        out[k - first] = (mixed * np.uint64(0x9FB21C651E98DF25) >> np.uint64(64 - SLOTS[k] - extra)).astype(np.int64) + (BASE[k] << extra)
     return out
 
 
-def node(byte: np.ndarray, bit: int) -> np.ndarray:
+def node(byte: np.ndarray, bit: np.ndarray) -> np.ndarray:
     """1 to 15: a bit's place in its half and the bits of the half before it."""
-    return ((byte >> 4 if bit < 4 else byte & 15) | 16) >> (4 - bit % 4)
+    return (byte >> 4 * (bit < 4) & 15 | 16) >> 4 - bit % 4
+
+
+def slots_of(line: np.ndarray, byte: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """(predictors, bytes, bits): a byte's bits side by side, as their counters are, so that memory is met once for each half."""
+    return np.bitwise_xor(line[bit // 4].transpose(1, 2, 0), node(byte[:, None], bit), order="C")
 
 
 def all_lines(h: np.ndarray, byte: np.ndarray, cls, extra: int = 0) -> np.ndarray:
-    return np.concatenate([lines(salted(h[:5], cls), byte, 0, 5, extra), lines(h[5:], byte, 5, 6, extra)], 1)
+    return np.concatenate([lines(salted(h[:5], cls), byte, 0, extra), lines(h[5:], byte, 5, extra)], 1)
 
 
 def count_bits(words: list[bytes], counts: np.ndarray, tables: np.ndarray) -> None:
@@ -126,44 +185,62 @@ def count_bits(words: list[bytes], counts: np.ndarray, tables: np.ndarray) -> No
     flat = tables.reshape(-1)
     for a in range(0, len(words), 100_000):
         part, weight = words[a : a + 100_000], counts[a : a + 100_000]
+        order = sorted(range(len(part)), key=part.__getitem__)
+        part, weight = [part[i] for i in order], weight[order]
         for cls in range(counts.shape[1]):
             mine = np.flatnonzero(weight[:, cls])
             if not len(mine):
                 continue
-            byte, owner, h = contexts([part[i] for i in mine])
-            w = weight[mine, cls][owner].astype(np.float32)
-            line = all_lines(h, byte, cls, extra)
-            for bit in range(8):
-                at = (line[bit // 4] ^ node(byte, bit)) + ((byte >> (7 - bit)) & 1) * tables.shape[1]
-                for k in range(6):
-                    np.add.at(flat, at[k], w)
+            four, owner, h = halves(*contexts([part[i] for i in mine]))
+            new, prefix = shared_prefixes(four, owner)
+            w = np.repeat(np.bincount(prefix, weight[mine, cls][owner]).astype(np.float32), 4)
+            four, h = four[new, None], h[:, new]
+            inner, ones = (four | 16) >> 4 - BITS[:4], (four >> 3 - BITS[:4] & 1) * tables.shape[1]
+            for line in (*line_numbers(salted(h[:5], cls), 0, extra), *line_numbers(h[5:], 5, extra)):
+                np.add.at(flat, ((line[:, None] ^ inner) + ones).ravel(), w)
+
+
+def log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log odds after adding a little to either count."""
+    return np.log((ones + 0.02) / (zeros + 0.02)).astype(np.float32)
 
 
-def odds_and_trust(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds after adding a little to either count, and how much was counted in five steps."""
-    n = zeros + ones
-    trust = (n > 0.5).astype(np.int64) + (n > 1.5) + (n > 7.5) + (n > 63.5)
-    return np.log((ones + 0.02) / (zeros + 0.02)).astype(np.float32), trust
+def trust_of(n: np.ndarray) -> np.ndarray:
+    """How much was counted, in five steps."""
+    return (n > 0.5).astype(np.int64) + (n > 1.5) + (n > 7.5) + (n > 63.5)
 
 
 @dataclass
 class Mixer:
-    """Log odds and trust of all slots, the gated weights, and the adaptive map."""
+    """Log odds and trust of all slots, the gated weights, and the adaptive map.
+
+    The last three of the 32 bits of log odds hold the trust, so that memory is met once for both (``trust`` None: they do already).
+    """
 
     odds: np.ndarray
-    trust: np.ndarray
+    trust: InitVar[np.ndarray | None]
     classes: int
     weights: np.ndarray = field(default_factory=lambda: np.full((GATES, 6), 0.25))
     refine: np.ndarray = field(default_factory=lambda: np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, STEPS))), (GATES, 1)))
     used: np.ndarray = field(default_factory=lambda: np.zeros((GATES, 1)))
     mapped: np.ndarray = field(default_factory=lambda: np.zeros((GATES, STEPS)))
 
+    def __post_init__(self, trust: np.ndarray | None) -> None:
+        if trust is not None:
+            self.odds = self._with_trust(self.odds, trust)
+
+    @staticmethod
+    def _with_trust(odds: np.ndarray, trust: np.ndarray) -> np.ndarray:
+        bits = np.where(odds == 0, 1e-6, odds).astype(np.float32).view(np.uint32)  # 0 would become a slow subnormal number
+        return (bits & np.uint32(0xFFFFFFF8) | trust.astype(np.uint32)).view(np.float32)
+
     @classmethod
     def of(cls, tables: np.ndarray, classes: int) -> Mixer:
-        odds, trust = np.empty(tables.shape[1], np.float32), np.empty(tables.shape[1], np.uint8)
+        odds = np.empty(tables.shape[1], np.float32)
         for a in range(0, len(odds), 1 << 20):
-            odds[a : a + (1 << 20)], trust[a : a + (1 << 20)] = odds_and_trust(*tables[:, a : a + (1 << 20)])
-        return cls(odds, trust, classes)
+            zeros, ones = tables[:, a : a + (1 << 20)]
+            odds[a : a + (1 << 20)] = cls._with_trust(log_odds(zeros, ones), trust_of(zeros + ones))
+        return cls(odds, None, classes)
 
     def learned(self) -> bytes:
         """What ``learn`` has found, for ``merge``."""
@@ -187,14 +264,18 @@ class Mixer:
         """Weights are chosen by the bit's number and by what was seen of the whole word so far and of four bytes."""
         return (bit * 5 + whole.astype(np.int64)) * 3 + (four > 0) + (four > 2)
 
+    @staticmethod
+    def _place(s: np.ndarray):
+        """Where the map is read: the step below, and how far beyond it."""
+        at = (np.clip(s, -7.999, 7.999) + 8) * ((STEPS - 1) / 16)
+        low = at.astype(np.int64)
+        return low, at - low
+
     def _refined(self, s: np.ndarray, gate: np.ndarray):
         """Probability of a one: the mean of the mixer's and the map's (between its steps linearly)."""
-        s = np.clip(s, -7.999, 7.999)
-        at = (s + 8) * ((STEPS - 1) / 16)
-        low = at.astype(np.int64)
-        part = at - low
+        low, part = self._place(s)
         mapped = self.refine[gate, low] * (1 - part) + self.refine[gate, low + 1] * part
-        return np.clip(0.5 * mapped + 0.5 / (1 + np.exp(-s)), 1e-6, 1 - 1e-6), low, part
+        return np.clip(0.5 * mapped + 0.5 / (1 + np.exp(-np.clip(s, -7.999, 7.999))), 1e-6, 1 - 1e-6)
 
     def learn(self, words: list[bytes], classes: np.ndarray, share: np.ndarray, tables: np.ndarray, rate: float = 0.02) -> None:
         """Online over a stream of words: every step corrects the weights and the map of the gates it used.
@@ -203,6 +284,7 @@ class Mixer:
         Each word is predicted from the counts without its own one, as an unseen text's would be.
         """
         extra = doubled(tables.shape[1])
+        pairs = np.ascontiguousarray(tables.T, np.float32).view(np.complex64).ravel()  # zeros and ones side by side
         reach = np.cumsum(share, dtype=np.float64)
         steps = max(1, int(reach[-1]) // 64) if len(reach) else 0
         mapped, refine = self.mapped.reshape(-1), self.refine.reshape(-1)  # changed in place
@@ -214,19 +296,28 @@ class Mixer:
             byte, owner, h = contexts(words[a:b])
             w = share[a:b][owner].astype(np.float64)
             line = all_lines(h, byte, classes[a:b][owner], extra)
-            for bit in range(8):
-                at = line[bit // 4] ^ node(byte, bit)
-                y = (byte >> (7 - bit)) & 1
-                x, trust = odds_and_trust(np.maximum(tables[0, at] - (1 - y), 0), np.maximum(tables[1, at] - y, 0))
-                gate = self._gate(bit, trust[4], trust[3])
-                s = (self.weights[gate].T * x).sum(0)
-                error = y - 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-                step = np.stack([np.bincount(gate, row, GATES) for row in np.clip(x, -8, 8) * (error * w)], 1)
-                used = np.bincount(gate, w, GATES)[:, None]
+            # gates of different bits are different, so a step takes all bits together (one by one where words are very long)
+            for bit in BITS.reshape(1 if len(byte) < 1 << 16 else 8, -1):
+                at = slots_of(line, byte, bit)
+                y = byte[:, None] >> 7 - bit & 1
+                one = y.astype(np.float32)
+                seen = pairs.take(at)
+                zeros, ones = np.maximum(seen.real - (1 - one), 0), np.maximum(seen.imag - one, 0)
+                x = log_odds(zeros, ones).reshape(6, -1)
+                gate = self._gate(bit, trust_of(zeros[4] + ones[4]), trust_of(zeros[3] + ones[3])).ravel()
+                y, much = one.ravel(), np.repeat(w, len(bit))
+                s = np.zeros(len(gate))
+                for k in range(6):
+                    s += self.weights[:, k].take(gate) * x[k]
+                error = (y - 1 / (1 + np.exp(-np.clip(s, -30, 30)))) * much
+                step = np.stack([np.bincount(gate, row * error, GATES) for row in np.clip(x, -8, 8)], 1)
+                used = np.bincount(gate, much, GATES)[:, None]
                 self.used += used
                 self.weights += now * step / np.maximum(1, used) ** 0.5
-                _, low, part = self._refined(s, gate)
-                for at, much in ((gate * STEPS + low, w * (1 - part)), (gate * STEPS + low + 1, w * part)):
+                low, part = self._place(s)
+                low += gate * STEPS
+                part *= much
+                for at, much in ((low, much - part), (low + 1, part)):
                     hits = np.bincount(at, much, len(mapped))
                     mapped += hits
                     # as steps of 0.01 one after the other: many bytes of one cell can't overshoot
@@ -239,36 +330,35 @@ class Mixer:
         weights = np.ascontiguousarray(self.weights.T, np.float32)
         table = self._log_table().ravel()
         extra = doubled(len(self.odds))
-        for a in range(0, len(words), 4_000):
-            part = words[a : a + 4_000]
-            byte, owner, h = contexts(part)
-            total = np.zeros((self.classes, len(byte)), np.float32)
-            shared_line = lines(h[5:], byte, 5, 6, extra)
-            by_class = [lines(salted(h[:5], cls), byte, 0, 5, extra) for cls in wanted]
-            for bit in range(8):
-                y, inner = (byte >> (7 - bit)) & 1, node(byte, bit)
-                shared = self.odds[shared_line[bit // 4, 0] ^ inner]
-                for cls, line in zip(wanted, by_class, strict=True):
-                    at = line[bit // 4] ^ inner
-                    gate = self._gate(bit, self.trust[at[4]], self.trust[at[3]])
-                    s = weights[5].take(gate) * shared
-                    for k in range(5):
-                        s += weights[k].take(gate) * self.odds.take(at[k])
-                    np.clip(s, -7.999, 7.999, out=s)
-                    s += 8
-                    s *= 64
-                    total[cls] += table.take((gate * 1024 + s.astype(np.int64)) * 2 + y)
-            if first:
-                total[:, np.r_[False, owner[1:] == owner[:-1]]] = 0
+        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        for a in range(0, len(words), 1_000):
+            mine = order[a : a + 1_000]
+            byte, owner, h = contexts([words[i] for i in mine])
+            counted = np.repeat(np.r_[True, owner[1:] != owner[:-1]], 2) if first else None
+            four, owner, h = halves(byte, owner, h)
+            new, prefix = shared_prefixes(four, owner)
+            four, h, bit = four[new, None], h[:, new], new[:, None] % 2 * 4 + BITS[:4]
+            inner, y = (four | 16) >> 4 - BITS[:4], four >> 3 - BITS[:4] & 1
+            shared = self.odds.take(line_numbers(h[5:], 5, extra)[0][:, None] ^ inner)
             for cls in wanted:
-                out[a : a + len(part), cls] = np.bincount(owner, total[cls], len(part))
+                at = line_numbers(salted(h[:5], cls), 0, extra)[:, :, None] ^ inner
+                odds = [self.odds.take(x) for x in at]
+                gate = self._gate(bit, odds[4].view(np.uint32) & 7, odds[3].view(np.uint32) & 7)
+                s = weights[5].take(gate) * shared
+                for k in range(5):
+                    s += weights[k].take(gate) * odds[k]
+                np.clip(s, -7.999, 7.999, out=s)
+                s += 8
+                s *= 64
+                total = table.take((gate * 1024 + s.astype(np.int64)) * 2 + y).sum(1)[prefix]
+                out[mine, cls] = np.bincount(owner, total if counted is None else total * counted, len(mine))
         return out
 
     def _log_table(self) -> np.ndarray:
         """log10 probability of a zero or one by gate and log odds in steps of 1/64 (both sides add up to 1)."""
         s = (np.arange(1024) + 0.5) / 64 - 8
         gate = np.repeat(np.arange(GATES), len(s))
-        p = self._refined(np.tile(s, GATES), gate)[0].reshape(GATES, -1)
+        p = self._refined(np.tile(s, GATES), gate).reshape(GATES, -1)
         return np.log10(np.stack([1 - p, p], 2)).astype(np.float32)
 
 
@@ -359,16 +449,21 @@ def read_in_order(word: np.ndarray, starts: np.ndarray, ways: np.ndarray, entry:
     way; ``first`` and ``row``: each word's first byte and row; ``follows``: log probability of a first byte
     by row; ``code`` and ``odds``: what ``repeats`` and ``repeat_odds`` say.
     """
-    begins = np.zeros(len(word), bool)
+    n, many = len(word), len(entry)
+    begins = np.zeros(n, bool)
     begins[starts] = True
-    own = ways[word]
     before = np.where(begins, ROWS, np.r_[ROWS, row[word[:-1]]])
     x = first[word]
-    primed = own + follows[before, x][:, None] - first_of_way[x]
-    total = np.cumsum(np.concatenate([own, primed], 1), 0)
-    doc = np.cumsum(begins) - 1
-    base = np.concatenate([np.zeros((1, total.shape[1])), total])[starts]
-    seen = log_sum(total - base[doc] + np.r_[entry, entry] - np.log(2))
+    total = np.empty((2 * many, n))  # as drawn, and primed by the word before
+    total[:many] = ways.take(word, 0).T
+    np.subtract(total[:many], first_of_way.take(x, 0).T, out=total[many:])
+    total[many:] += follows[before, x]
+    np.cumsum(total, 1, out=total)
+    base = np.concatenate([np.zeros((2 * many, 1)), total[:, starts[1:] - 1]], 1) - (np.r_[entry, entry] - np.log(2))[:, None]
+    total -= np.repeat(base, np.diff(np.r_[starts, n]), 1)
+    top = total.max(0)
+    total -= top
+    seen = np.log(np.exp(total, out=total).sum(0)) + top
     each = seen - np.where(begins, 0, np.r_[0, seen[:-1]])
     some = np.flatnonzero(code)
     p, right = odds[(code[some].astype(np.int64) - 1) // 2], (code[some] - 1) % 2 == 1
@@ -376,12 +471,20 @@ def read_in_order(word: np.ndarray, starts: np.ndarray, ways: np.ndarray, entry:
     return np.add.reduceat(each, starts)
 
 
+def pack(b: bytes) -> bytes:
+    return len(b).to_bytes(8, "little") + pa.compress(b, "zstd", asbytes=True)
+
+
+def unpack(b: bytes) -> bytes:
+    return pa.decompress(memoryview(b)[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True)
+
+
 def pack_ints(x: np.ndarray) -> bytes:
-    return zlib.compress(x.tobytes(), 1)
+    return pack(x.tobytes())
 
 
 def unpack_ints(b: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), kind)
+    return np.frombuffer(unpack(b), kind)
 
 
 def in_parts(sizes: list[int]) -> list[tuple[int, int]]:
@@ -402,7 +505,7 @@ def gather(docs: DataFrame, id_col: str, text_col: str, class_col: str, learn_co
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        number: dict[bytes, int] = {}
+        number = Numbers()
         rows: list[tuple] = []
         size, serial = 0, 0
 
@@ -422,7 +525,7 @@ def gather(docs: DataFrame, id_col: str, text_col: str, class_col: str, learn_co
             for b in range(width):
                 lo, hi = int(starts[b]), int(starts[b + 1])
                 if hi > lo:
-                    out.append((0, b, block, lo, None, None, zlib.compress(b" ".join([words[i] for i in order[lo:hi]]), 1), pack_ints(total[lo:hi].T.astype(np.uint32).copy())))
+                    out.append((0, b, block, lo, None, None, pack(b" ".join([words[i] for i in order[lo:hi]])), pack_ints(total[lo:hi].T.astype(np.uint32).copy())))
             first = np.fromiter((w[0] for w in words), np.int64, len(words))
             row = np.fromiter((zlib.crc32(w) // width % ROWS for w in words), np.int64, len(words))
             follow, again = np.zeros((ROWS + 1) * 256, np.int64), np.zeros(REPEAT_GATES * BINS * 2, np.int64)
@@ -433,7 +536,7 @@ def gather(docs: DataFrame, id_col: str, text_col: str, class_col: str, learn_co
                 starts = np.cumsum([0, *size[:-1]])
                 before = np.r_[ROWS, row[word[:-1]]]
                 before[starts] = ROWS
-                follow += np.bincount((before * 256 + first[word])[learns], minlength=len(follow))
+                np.add.at(follow, (before * 256 + first[word])[learns], 1)
                 seen = code[learns & (code > 0)].astype(np.int64) - 1
                 again += np.bincount(seen, minlength=len(again))
                 for (doc, held, _, ids), codes in zip(rows[a:b], np.split(code, starts[1:]), strict=True):
@@ -447,14 +550,21 @@ def gather(docs: DataFrame, id_col: str, text_col: str, class_col: str, learn_co
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for doc, text, cls, learns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = [*ascii_words(text), END]
-                ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
-                rows.append((doc, not learns, cls if learns else None, ids))
-                size += len(text or "")
+            chars = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            cuts = [0, *(np.flatnonzero(np.diff(chars // (block_chars // 8))) + 1).tolist(), len(batch)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                few = batch.slice(a, b - a)
+                words, word, many = numbered_words(few.column(1))
+                word = np.fromiter(map(number.__getitem__, words), np.int32, len(words))[word]
+                end = np.array([number[END]], np.int32)
+                for doc, cls, learns, ids in zip(*(few.column(i).to_pylist() for i in (0, 2, 3)), np.split(word, np.cumsum(many)[:-1]), strict=True):
+                    rows.append((doc, not learns, cls if learns else None, np.concatenate([ids, end])))
+                size += int(chars[b - 1] - (chars[a - 1] if a else 0))
                 if size >= block_chars:
                     yield from flush()
-                    number, rows, size, serial = {}, [], 0, serial + 1
+                    number, rows, size, serial = Numbers(), [], 0, serial + 1
         if rows:
             yield from flush()
 
@@ -463,18 +573,27 @@ def gather(docs: DataFrame, id_col: str, text_col: str, class_col: str, learn_co
     return docs.select(id_col, text_col, class_col, learn_col).mapInArrow(run, schema)
 
 
-def bucket_counts(rows: list[tuple[bytes, bytes]], classes: int) -> tuple[dict[bytes, int], np.ndarray, list[np.ndarray]]:
+def bucket_counts(rows: list[tuple[bytes, bytes]], classes: int) -> tuple[pa.Array, np.ndarray, list[np.ndarray]]:
     """Distinct words of a bucket, their counts by class, and the word numbers of each packet."""
-    number: dict[bytes, int] = {}
-    at, packs = [], []
-    for x, y in rows:
-        words = zlib.decompress(x).split(b" ")
-        at.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
-        packs.append(unpack_ints(y, "<u4").reshape(classes, -1))
-    total = np.zeros((len(number), classes), np.int64)
-    for ids, n in zip(at, packs, strict=True):
-        total[ids] += n.T.astype(np.int64)  # words of a packet are distinct
-    return number, total, at
+    lists = pc.split_pattern(pa.array([unpack(x) for x, _ in rows], pa.large_binary()), b" ")
+    coded = pc.list_flatten(lists).dictionary_encode()
+    at = np.split(coded.indices.to_numpy().astype(np.int64), np.cumsum(pc.list_value_length(lists).to_numpy())[:-1])
+    total = np.zeros((len(coded.dictionary), classes), np.int64)
+    for ids, (_, y) in zip(at, rows, strict=True):
+        total[ids] += unpack_ints(y, "<u4").reshape(classes, -1).T.astype(np.int64)  # words of a packet are distinct
+    return coded.dictionary, total, at
+
+
+def together(buckets: Iterable[list[tuple]], most: int = 4 << 20) -> Iterator[list[tuple]]:
+    """Packets of several small buckets (words come last but one), as more words share more of their prefixes."""
+    held, size = [], 0
+    for packs in buckets:
+        held, size = held + packs, size + sum(len(p[-2]) for p in packs)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def learning_pieces(counts: np.ndarray, most: int, seed: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -539,8 +658,8 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         held_words: list[bytes] = []
         held_counts: list[np.ndarray] = []
         for packs in packets(batches).values():
-            number, total, _ = bucket_counts([p[2:] for p in packs], classes)
-            held_words += number
+            words, total, _ = bucket_counts([p[2:] for p in packs], classes)
+            held_words += words.to_pylist()
             held_counts.append(total)
             if len(held_words) >= 100_000:
                 count_bits(held_words, np.concatenate(held_counts), tables)
@@ -569,7 +688,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             total = x.copy() if total is None else total + x
         return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([total.tobytes()], pa.binary())})
 
-    tables = np.zeros((2, slots_all), np.float32)
+    tables = np.zeros((slots_all, 2), np.float32).T  # as ``learn`` reads them
     vocabulary, by_class = 0, np.zeros(classes)
     for r in joined.mapInArrow(summed, "at long, data binary").groupBy("at").applyInArrow(add, "at long, data binary").toLocalIterator():
         if r.at < 0:
@@ -588,8 +707,8 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         counts: list[np.ndarray] = []
         held = packets(batches)
         for key in sorted(held):
-            number, total, _ = bucket_counts([p[2:] for p in sorted(held[key], key=lambda p: p[:2])], classes)
-            words += number
+            own, total, _ = bucket_counts([p[2:] for p in sorted(held[key], key=lambda p: p[:2])], classes)
+            words += own.to_pylist()
             counts.append(total)
         tokens = np.concatenate(counts).ravel() if counts else np.empty(0, np.int64)
         if not tokens.any():
@@ -626,18 +745,19 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # a class without training words says nothing; with none at all one stands for all
     wanted = np.flatnonzero(by_class).tolist() or [0]
     prior = np.log10(np.maximum(by_class, 1e-30) / max(1, by_class.sum()))
-    sent = spark.sparkContext.broadcast((mixer.odds, mixer.trust, classes, mixer.weights, mixer.refine))
+    sent = spark.sparkContext.broadcast((mixer.odds, None, classes, mixer.weights, mixer.refine))
     first_of_class = mixer.log10_words([bytes([b]) for b in range(256)], wanted, first=True).astype(np.float64)
     sent_texts = spark.sparkContext.broadcast((after_word(follow), repeat_odds(again), first_of_class))
     release(spark)
 
     def answer(batches):
         mixer = Mixer(*sent.value)
-        for packs in packets(batches).values():
-            number, total, at = bucket_counts([p[2:] for p in packs], classes)
-            log_p = mixer.log10_words(list(number), wanted)
+        for packs in together(packets(batches).values()):
+            words, total, at = bucket_counts([p[2:] for p in packs], classes)
+            words = words.to_pylist()
+            log_p = mixer.log10_words(words, wanted)
             c = total.sum(1)
-            size = np.fromiter(map(len, number), np.int64, len(number)) << 32 | np.fromiter((zlib.crc32(w) // (4 * width) % ROWS << 8 | w[0] for w in number), np.int64, len(number))
+            size = np.fromiter(map(len, words), np.int64, len(words)) << 32 | np.fromiter((zlib.crc32(w) // (4 * width) % ROWS << 8 | w[0] for w in words), np.int64, len(words))
             for (block, first, _, _), ids in zip(packs, at, strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([first], pa.int64()), pa.array([pack_ints(c[ids])], pa.binary()), pa.array([pack_ints(size[ids])], pa.binary()), pa.array([pack_ints(log_p[ids])], pa.binary())], ["block", "first", "c", "size", "p"])
 
@@ -646,10 +766,11 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("first").to_numpy())
-        part = lambda c, k: np.concatenate([unpack_ints(b, k) for b in (right.column(c).to_pylist()[i] for i in order)])
+        packed = {c: right.column(c).to_pylist() for c in ("c", "size", "p")}
+        part = lambda c, k: np.concatenate([unpack_ints(packed[c][i], k) for i in order])
         c, size, p = part("c", "<i8"), part("size", "<i8"), part("p", "<f4").reshape(-1, classes).astype(np.float64)
         size, row, first = (size >> 32) + 1, size >> 8 & ROWS - 1, size & 255
-        unigram = np.log10((c + 1) / (n_train + vocabulary + 1))
+        known, unigram = (c > 0).astype(np.int64), np.log10((c + 1) / (n_train + vocabulary + 1))
         follows, odds, first_of_class = sent_texts.value
 
         def with_fresh(x: np.ndarray) -> np.ndarray:
@@ -672,7 +793,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             word, starts = np.concatenate(held), np.cumsum([0, *sizes[:-1]])
             total = read_in_order(word, starts, ways, entry, first_of_way, first, row, follows, np.concatenate(some), odds) / np.log(10)
             added = lambda v: np.add.reduceat(v[word], starts)  # noqa: B023, E731
-            for column, value in zip(out, (np.array(sizes), added((c > 0).astype(np.int64)), np.full(len(sizes), n_train), added(unigram), total, -total / np.log10(2) / added(size)), strict=True):
+            for column, value in zip(out, (np.array(sizes), added(known), np.full(len(sizes), n_train), added(unigram), total, -total / np.log10(2) / added(size)), strict=True):
                 column += value.tolist()
         return pa.Table.from_arrays([left.column("doc").combine_chunks(), left.column("held").combine_chunks(), *(pa.array(v, pa.int64()) for v in out[:3]), *(pa.array(v, pa.float64()) for v in out[3:])], [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
