@@ -182,7 +182,8 @@ def all_lines(h: np.ndarray, byte: np.ndarray, cls, extra: int = 0) -> np.ndarra
 def count_bits(words: list[bytes], counts: np.ndarray, tables: np.ndarray) -> None:
     """Add (words, classes) counts to tables (2, slots)."""
     extra = doubled(tables.shape[1])
-    flat = tables.reshape(-1)
+    flat = tables.reshape(-1, order="A")
+    to_one, to_next = (x // tables.itemsize for x in tables.strides)
     for a in range(0, len(words), 100_000):
         part, weight = words[a : a + 100_000], counts[a : a + 100_000]
         order = sorted(range(len(part)), key=part.__getitem__)
@@ -195,9 +196,9 @@ def count_bits(words: list[bytes], counts: np.ndarray, tables: np.ndarray) -> No
             new, prefix = shared_prefixes(four, owner)
             w = np.repeat(np.bincount(prefix, weight[mine, cls][owner]).astype(np.float32), 4)
             four, h = four[new, None], h[:, new]
-            inner, ones = (four | 16) >> 4 - BITS[:4], (four >> 3 - BITS[:4] & 1) * tables.shape[1]
+            inner, ones = (four | 16) >> 4 - BITS[:4], (four >> 3 - BITS[:4] & 1) * to_one
             for line in (*line_numbers(salted(h[:5], cls), 0, extra), *line_numbers(h[5:], 5, extra)):
-                np.add.at(flat, ((line[:, None] ^ inner) + ones).ravel(), w)
+                np.add.at(flat, ((line[:, None] ^ inner) * to_next + ones).ravel(), w)
 
 
 def log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -653,7 +654,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     slots_all = int(BASE[-1]) << extra
 
     def summed(batches):
-        tables = np.zeros((2, slots_all), np.float32)
+        tables = np.zeros((slots_all, 2), np.float32).T
         tokens, distinct = np.zeros(classes, np.int64), 0
         held_words: list[bytes] = []
         held_counts: list[np.ndarray] = []
@@ -769,8 +770,9 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         packed = {c: right.column(c).to_pylist() for c in ("c", "size", "p")}
         part = lambda c, k: np.concatenate([unpack_ints(packed[c][i], k) for i in order])
         c, size, p = part("c", "<i8"), part("size", "<i8"), part("p", "<f4").reshape(-1, classes).astype(np.float64)
-        size, row, first = (size >> 32) + 1, size >> 8 & ROWS - 1, size & 255
-        known, unigram = (c > 0).astype(np.int64), np.log10((c + 1) / (n_train + vocabulary + 1))
+        # small kinds, as they are read in the order of the texts
+        size, row, first = (size >> 32).astype(np.int32) + np.int32(1), (size >> 8 & ROWS - 1).astype(np.uint16), (size & 255).astype(np.uint8)
+        known, unigram = c > 0, np.log10((c + 1) / (n_train + vocabulary + 1))
         follows, odds, first_of_class = sent_texts.value
 
         def with_fresh(x: np.ndarray) -> np.ndarray:
@@ -792,7 +794,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 at += 1
             word, starts = np.concatenate(held), np.cumsum([0, *sizes[:-1]])
             total = read_in_order(word, starts, ways, entry, first_of_way, first, row, follows, np.concatenate(some), odds) / np.log(10)
-            added = lambda v: np.add.reduceat(v[word], starts)  # noqa: B023, E731
+            added = lambda v: np.add.reduceat(v[word], starts, dtype=np.float64 if v.dtype.kind == "f" else np.int64)  # noqa: B023, E731
             for column, value in zip(out, (np.array(sizes), added(known), np.full(len(sizes), n_train), added(unigram), total, -total / np.log10(2) / added(size)), strict=True):
                 column += value.tolist()
         return pa.Table.from_arrays([left.column("doc").combine_chunks(), left.column("held").combine_chunks(), *(pa.array(v, pa.int64()) for v in out[:3]), *(pa.array(v, pa.float64()) for v in out[3:])], [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
