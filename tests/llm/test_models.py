@@ -6,6 +6,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from verbflow.llm import html_extract, langid, lm_score, toxicity
 from verbflow.llm.common import ascii_words
@@ -99,6 +100,33 @@ def test_langid(spark):
     assert langid.fit_langid(test.where("false")) is None
 
 
+@pytest.mark.parametrize("kind", ["language", "toxicity"])
+def test_maps_hold_a_run_of_texts(spark, documents, prose, monkeypatch, kind):
+    """A batch of long texts is read run by run, none left out: 24 MB of text never stand beside each other."""
+    if kind == "language":
+        stage = lambda docs: langid.predict_langid(docs, langid.BiGru(["aa", "bb"]))
+    else:
+        stage = lambda docs: toxicity.score_toxicity(docs, toxicity.FactorizationMachine(np.arange(3), 0.5, np.ones(3), np.ones((3, 2))))
+    long = prose(15_000, 1)
+    texts = [None, "", *(f"{long} {prose(3, i)}" for i in range(300)), "ka lo", prose(300_000, 2)]
+    assert sum(len(t or "") for t in texts) > 24 << 20
+    monkeypatch.setattr(type(documents((1, ""))), "mapInArrow", lambda self, run, schema: run)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    run = stage(documents((1, "")).select("text"))
+    alone = [r for i in (0, 1, 2, 301, 302, 303) for out in run([batch.slice(i, 1)]) for r in out.drop_columns("text").to_pylist()]
+    tracemalloc.start()
+    try:
+        outs = list(run([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert pa.Table.from_batches(outs).column("text").to_pylist() == texts
+    rows = pa.Table.from_batches(outs).drop_columns("text").to_pylist()
+    for got, want in zip([rows[i] for i in (0, 1, 2, 301, 302, 303)], alone, strict=True):
+        assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-5 if isinstance(want[c], float) else got[c] == want[c] for c in want)
+    assert peak < 24 << 20
+
+
 def test_langid_learns_from_all_of_a_long_word(spark, monkeypatch):
     """Texts without spaces count with all their pieces, as they are read when predicting."""
     seen = {}

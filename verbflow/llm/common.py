@@ -6,6 +6,8 @@ import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +101,19 @@ def text_chunks(texts: Iterable[str | None], budget: int = 4 << 20) -> Iterator[
         yield start, run
 
 
+def row_runs(batch: pa.RecordBatch, column: int, budget: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive runs of whole rows with about ``budget`` bytes of text in ``column``; a longer text is a run of its own.
+
+    Spark's batches are counted in rows, so as Python objects the texts of one take whatever the rows are long.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + budget, "right")))
+        yield batch.slice(at, until - at)
+        at = until
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to ``limit`` words and then begun anew."""
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_words, hash_sample, text_chunks, with_fields
+from .common import ascii_words, hash_sample, row_runs, text_chunks, with_fields
 
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes read in one go; a longer word is read in several pieces, none is left out.
@@ -177,8 +177,8 @@ class Labeller:
         pieces = [(i, w[at : at + SPAN]) for i, w in enumerate(new) for at in range(0, len(w), SPAN)]
         pieces.sort(key=lambda p: len(p[1]))
         sums = np.zeros((len(new), len(self.model.classes)), np.float32)
-        for at in range(0, len(pieces), 2048):
-            part = pieces[at : at + 2048]
+        for at in range(0, len(pieces), 512):
+            part = pieces[at : at + 512]
             np.add.at(sums, [i for i, _ in part], self.model.label(*padded([w for _, w in part])))
         start = len(self.sums)
         self.sums = np.concatenate([self.sums, sums])
@@ -187,10 +187,10 @@ class Labeller:
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
         """Mean class probabilities over all byte positions of each text; zeros for a text without words."""
         out = np.zeros((len(texts), len(self.model.classes)))
-        for start, run in text_chunks(texts):
+        for start, run in text_chunks(texts, 1 << 20):
             split = [ascii_words(t) for t in run]
-            known = self.place
-            self._meet({w for words in split for w in words if w not in known} if known else set().union(*split))
+            # no name for the memory here: emptied, it would live on beside the new one
+            self._meet({w for words in split for w in words if w not in self.place} if self.place else set().union(*split))
             # a full memory may have been emptied above
             if any(w not in self.place for words in split for w in words):
                 self._meet(set().union(*split))
@@ -232,7 +232,7 @@ def predict_langid(docs: DataFrame, model: BiGru | None, *, text_col: str = "tex
 
     def run(batches):
         labeller = Labeller(model) if model else None
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_runs(whole, at)):
             texts = batch.column(at).to_pylist()
             has = np.array([bool(t and LETTER.search(t)) for t in texts], bool)
             pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))

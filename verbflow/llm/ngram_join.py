@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, ascii_words, bucket_keys, ensure_checkpoint_dir, gram_hashes, mix64, release, shuffle_width
+from .common import WordHashes, ascii_words, bucket_keys, ensure_checkpoint_dir, gram_hashes, mix64, release, row_runs, shuffle_width
 from .graph import components
 
 #: At most so many shingles are set apart as very frequent; any choice gives the same links.
@@ -163,7 +163,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                 h.extend(value[often].astype(np.int64).tolist())
                 c.extend(count[often].tolist())
 
-            for text in batch.column(1).to_pylist():
+            for text in (t for part in row_runs(batch, 1) for t in part.column(1).to_pylist()):
                 s = shingles(hashes.of(ascii_words(text)), n)
                 rows.append((len(s), *fingerprints(s), sketch(s)) if len(s) else (0, None, None, None))
                 block.append(s)
@@ -242,7 +242,7 @@ def collisions(docs: DataFrame, text_col: str, n: int, bands: Bands, frequent: n
                 rows[4].append(least[own].tobytes())
             return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["bucket", "k", "d", "s", "q"])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_runs(whole, 0)):
             for text in batch.column(0).to_pylist():
                 s = shingles(hashes.of(ascii_words(text)), n)
                 if not len(s):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import byte_letters
-from .common import ensure_checkpoint_dir, with_fields
+from .common import ensure_checkpoint_dir, row_runs, with_fields
 
 #: White space as the byte-level pre-tokenizer's ``\s`` has it (the Unicode property White_Space).
 WIDE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -270,9 +270,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer_json: str, *, id_col: str, text_c
     def run(batches):
         encoder = ChunkEncoder(tokenizer_json)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
             out: list[tuple] = []
-            for doc, text in zip(ids, batch.column(1).to_pylist(), strict=True):
+            for doc, text in (row for part in row_runs(batch, 1) for row in zip(*(c.to_pylist() for c in part.columns), strict=True)):
                 tokens = encoder.encode(text)
                 tokens += end_id.to_bytes(4, "little")
                 out += [(doc, i, s, n, zlib.crc32(tokens[4 * s : 4 * (s + n)])) for i, (s, n) in enumerate(cut(len(tokens) // 4, capacity))]

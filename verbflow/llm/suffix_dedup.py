@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, ascii_words, bucket_keys, gram_hashes, mix64, shuffle_width
+from .common import WordHashes, ascii_words, bucket_keys, gram_hashes, mix64, row_runs, shuffle_width
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: log2 of the bits of the bitmap of repeated grams that tasks get (8 MB), whatever the input's size.
@@ -189,7 +189,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def count(batches):
         hashes = WordHashes()
         for batch in batches:
-            found = [read(text, hashes)[4] for text in batch.column(0).to_pylist()]
+            found = [read(text, hashes)[4] for part in row_runs(batch, 0) for text in part.column(0).to_pylist()]
             value, n = np.unique(np.concatenate([*found, np.empty(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(n.astype(np.int64))], ["k", "c"])
 
@@ -251,7 +251,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 rows += packets(2, doc_bucket[r], r, known, home, s=np.stack([low, high], 1).astype("<u4"))
             return batch_of(rows, id_type)
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_runs(whole, 1)):
             id_type = batch.schema.field(0).type
             for doc, text, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h, at, first, last, keys = read(text, hashes)
@@ -381,7 +381,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     at = names.index(text_col)
 
     def cut(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_runs(whole, at)):
             texts = [t if not s or t is None else without_repeats(t, [(x["first"], x["start_word"], x["n_words"]) for x in s]) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
             columns = list(batch.columns)[: len(names)]
             columns[at] = pa.array(texts, batch.schema.field(at).type)

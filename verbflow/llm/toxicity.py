@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_sample, with_fields
+from .common import hash_sample, row_runs, with_fields
 
 TERM = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 20
@@ -188,7 +188,7 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, *, text_col: st
     at = names.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_runs(whole, at)):
             score = np.empty(batch.num_rows)
             texts = batch.column(at).to_pylist()
             for i in range(0, len(texts), 512):
